@@ -12,6 +12,7 @@ no other's rows, and holds one block of ids at a time.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,14 +31,49 @@ GAP = 256
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
 REMEMBER = 1_000_000
+_MARKS = b".,;:!?*&%#$|"
 _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"')
 
 
+def _letters(word: str) -> bool:
+    """Whether the tokenizer, which composes and lower-cases first, sees letters alone."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+class _Places(dict):
+    """Number of each word; a word not seen before gets the next one and is noted."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+
+class _Ragged:
+    """Rows of ids, one after the other."""
+
+    def __init__(self) -> None:
+        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.ids = np.concatenate([self.ids, ids.astype("<u4")])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some rows in a row, and where each ends."""
+        size = self.size[rows]
+        after = np.cumsum(size)
+        return self.ids[np.repeat(self.start[rows] - (after - size), size) + np.arange(after[-1] if len(after) else 0)], after
+
+
 class IdPool:
     """Ids of white-space separated words, each encoded once; texts are looked up as arrays.
 
-    The tokenizer splits at white space before anything else, so a text's ids
-    are those of its words in a row; a test holds that against the library.
+    The tokenizer splits at white space and between letters and marks before
+    anything else, and lower-cases, so a text's ids are those of its words in a
+    row, and a word's those of its letters and of the marks after them.  Only
+    words of that simple shape are taken apart.  A test holds that against the library.
     """
 
     def __init__(self, tokenizer_file: str, end_id: int):
@@ -47,38 +83,70 @@ class IdPool:
         self.tokenizer, self.end_id = Tokenizer.from_file(tokenizer_file), end_id
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        """Word 0 is the end of a document."""
-        self.place: dict[bytes, int] = {b"": 0}
-        self.ids = np.array([self.end_id], dtype="<u4")
-        self.start, self.size, self.ends = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, bool)
-
-    def add(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        self.place.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
-        self.size = np.r_[self.size, size]
-        self.ends = np.r_[self.ends, np.fromiter((w.endswith(_SENTENCE_END) for w in words), bool, len(words))]
-        self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), "<u4", int(size.sum()))])
+        """Word 0 is the end of a document, part 0 is empty."""
+        self.words, self.parts = _Places({b"": 0}), _Places({b"": 0})
+        self.words.new, self.parts.new = [], []
+        self.word_ids, self.part_ids, self.ends = _Ragged(), _Ragged(), np.zeros(1, bool)
+        self.word_ids.append(np.array([self.end_id]), np.ones(1, np.int64))
+        self.part_ids.append(np.zeros(0), np.zeros(1, np.int64))
+
+    def _encode_parts(self) -> None:
+        new = [x.decode("utf-8", "replace") for x in self.parts.new]
+        self.parts.new = []
+        letters = [k for k, x in enumerate(new) if _letters(x)]
+        size = np.zeros(len(new), np.int64)
+        got: list[np.ndarray] = [np.zeros(0, np.int64)] * len(new)
+        for i in range(0, len(letters), 2000):  # words of letters alone go together: each ends with one end-of-word id
+            some = letters[i : i + 2000]
+            flat = np.fromiter((x for e in self.tokenizer.encode_batch_fast([" ".join(new[k] for k in some[j : j + 20]) for j in range(0, len(some), 20)], add_special_tokens=False) for x in e.ids), np.int64)
+            stop = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(stop) != len(some):
+                raise ValueError("the vocabulary doesn't end each word with one end-of-word id")
+            size[some] = np.diff(np.r_[0, stop])
+            for k, a, b in zip(some, np.r_[0, stop[:-1]].tolist(), stop.tolist(), strict=True):
+                got[k] = flat[a:b]
+        rest = [k for k, x in enumerate(new) if not _letters(x)]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([new[k] for k in some], add_special_tokens=False), strict=True):
+                got[k] = np.array(e.ids, np.int64)
+                size[k] = len(got[k])
+        if new:
+            self.part_ids.append(np.concatenate(got), size)
+
+    def _add_words(self) -> None:
+        new, self.words.new = self.words.new, []
+        pairs = []
+        for w in new:
+            low = w if b"<|" in w else w.lower()  # ASCII only; a special token's name keeps its case
+            head = low.rstrip(_MARKS)
+            if len(head) == len(low) or not _letters(head.decode("utf-8", "replace")):
+                pairs += (self.parts[low], 0)
+            else:
+                pairs += (self.parts[head], self.parts[low[len(head) :]])
+        self._encode_parts()
+        ids, after = self.part_ids.take(np.array(pairs, np.int64))
+        if new:
+            self.word_ids.append(ids, np.diff(np.r_[0, after[1::2]]))
+            self.ends = np.r_[self.ends, np.fromiter((w.endswith(_SENTENCE_END) for w in new), bool, len(new))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, end id after each; tokens of each text; positions after the words that end a sentence."""
-        if len(self.place) > REMEMBER:
+        if len(self.words) > REMEMBER:
             self.reset()
         flat: list[bytes] = []
         for t in texts:
             flat += (t or "").encode("utf-8", "replace").split()
             flat.append(b"")
-        new = list(set(flat).difference(self.place))
-        for i in range(0, len(new), 20_000):
-            self.add(new[i : i + 20_000])
-        words = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[words]
-        after = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[words] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        words = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        self._add_words()
+        ids, after = self.word_ids.take(words)
         docs_end = after[words == 0]
         return ids, np.diff(np.r_[0, docs_end]), after[self.ends[words]]
 
@@ -99,18 +167,14 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, width: int) ->
     penalty = np.full(len(at), SEQUENCE + HARD_CUT)
     penalty[np.isin(at, sentence_ends)] = SEQUENCE + SENTENCE_CUT
     penalty[np.isin(at, np.r_[doc_ends, n])] = SEQUENCE
-    whole = []  # for each power of two, the place so far back, if it may be cut
-    k = 1
-    while k <= width:
-        back = np.searchsorted(at, at - k)
-        whole.append(np.where(at[np.minimum(back, len(at) - 1)] == at - k, back, -1).tolist())
-        k *= 2
+    exact: dict[int, list[int]] = {}  # places a power of two before one of the last, where that can save padding
+    late = np.flatnonzero(at > n - width)
+    for b in range(width.bit_length()):
+        back = np.searchsorted(at, at[late] - (1 << b))
+        for j, i in zip(late.tolist(), back.tolist(), strict=True):
+            if at[i] == at[j] - (1 << b) and 1 << b <= width:
+                exact.setdefault(j, []).append(i)
     places, penalties = at.tolist(), penalty.tolist()
-    exact = [[] for _ in places]
-    for row in whole:
-        for j, i in enumerate(row):
-            if i >= 0:
-                exact[j].append(i)
     best, came = [0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])  # ascending in best + place
     for j in range(1, len(places)):
@@ -119,7 +183,7 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, width: int) ->
             queue.popleft()
         i = queue[0]
         low, frm = best[i] + width - (here - places[i]), i
-        for i in exact[j]:
+        for i in exact.get(j, ()):
             if best[i] <= low:
                 low, frm = best[i], i
         best[j], came[j] = low + penalties[j], frm
