@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import html_text, language_id, line_dedup, ngram_jaccard, packing, quality, token_counts
+from verdigris.llm import html_text, language_id, line_dedup, ngram_jaccard, packing, quality, substring_dedup, token_counts
 from verdigris.llm.common import materialise
 
 
@@ -38,6 +38,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, width=4096)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(_table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
@@ -87,6 +92,22 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach
 SELECT doc_id, len(s) AS n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id FROM sets
 """
 
+OP7_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM wins) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM later, range(20) AS t(d)),
+each AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -94,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_packing": op6_packing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_language_id": op10_language_id,
@@ -101,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_substring_dedup": OP7_SQL}
