@@ -8,14 +8,45 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from verdigris.llm import language_id, line_dedup, packing
+from verdigris.llm import decontamination, language_id, line_dedup, ngram_jaccard, packing
 from verdigris.llm.common import materialise
-from verdigris.llm.queries import _vocabulary
+from verdigris.llm.queries import vocabulary
 
 
-STAGES = []
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the dictionaries come from a bounded sample of the labelled ones."""
+    return language_id.known_language(docs, language_id.learn(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them have; those that are nothing else go."""
+    return line_dedup.without_frequent_lines(docs, length_col="n_chars", min_docs=10)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return ngram_jaccard.one_of_each_group(docs, words=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, width=4096)
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("packing", pack),
+]
+#: The first stage compresses texts, which SQL can't.
 ORACLE_SQL = None
 
 

@@ -36,13 +36,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Keep id and text only, as ``doc_id`` and ``text`` (null: empty), with ``row_key`` for joining back.
+def with_row_key(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Keep id, text and more columns only, id and text as ``doc_id`` and ``text`` (null: empty), with ``row_key`` for joining back.
 
     Rows that agree in id and text are the same document; rows with one id and
     different texts are different documents.  A null id is a value like any other.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn(
+    return df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *more).withColumn(
         "row_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
     )

@@ -124,6 +124,12 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], *, id_col: str = "doc_id"
     return rows.select("doc_id", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"), F.col("r.margin").alias("margin"), ((F.col("r.lang") == UNKNOWN) | (F.col("r.score") < min_score)).alias("rejected"))
 
 
+def known_language(docs: DataFrame, dicts: dict[str, bytes], *, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, that identify doesn't reject."""
+    r = classify(dicts, F.col(text_col))
+    return docs.where((r["lang"] != UNKNOWN) & (r["score"] >= min_score))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -37,24 +37,17 @@ def frequent_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     return found.groupBy("h").agg(F.count_distinct("row_key").alias("n")).where(F.col("n") >= min_docs).select("h")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
-    """Drop the lines whose key is found in at least ``min_docs`` documents.
-
-    Returns one row per input row: doc_id, n_lines, n_dropped, kept (the other
-    lines joined by \\n).  Extra columns are ignored, whatever their names.
-
-    * A null or empty text is one empty line, which is never dropped.
-    * Lines without a character after stripping are never dropped.
-    * A key counts once per document, however often the document has it;
-      repeated rows are one document, and each of them is returned.
-    * An empty table gives an empty result.
-    """
+def _kept(docs: DataFrame, id_col: str, text_col: str, min_docs: int, whole_rows: bool) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept; and the whole input row as a struct, if asked for."""
+    more = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole_rows else []
+    keyed = with_row_key(docs, id_col, text_col, *more)
     rows = with_row_key(docs, id_col, text_col)
     lines = rows.select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     frequent = materialise(frequent_lines(rows, min_docs))
     hits = lines.select("row_key", "pos", _hash(line_key(F.col("line"))).alias("h")).where(F.col("h").isNotNull())
     dropped = hits.join(frequent, "h", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
-    both = rows.join(dropped, rows["row_key"].eqNullSafe(dropped["row_key"]), "left").select("doc_id", "text", "drop")
+    extra = ["row"] if whole_rows else []
+    both = keyed.join(dropped, keyed["row_key"].eqNullSafe(dropped["row_key"]), "left").select("doc_id", "text", "drop", *extra)
     lines = F.split("text", "\n")
     drop = F.coalesce("drop", F.array().cast("array<int>"))
     # what is kept lies between successive dropped positions: slices, so the work is linear in the lines
@@ -67,4 +60,34 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.size(lines).cast("long").alias("n_lines"),
         F.size(drop).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        *extra,
     )
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
+    """Drop the lines whose key is found in at least ``min_docs`` documents.
+
+    Returns one row per input row: doc_id, n_lines, n_dropped, kept (the other
+    lines joined by \\n).  Extra columns are ignored, whatever their names.
+
+    * A null or empty text is one empty line, which is never dropped.
+    * Lines without a character after stripping are never dropped.
+    * A key counts once per document, however often the document has it;
+      repeated rows are one document, and each of them is returned.
+    * An empty table gives an empty result.
+    """
+    return _kept(docs, id_col, text_col, min_docs, whole_rows=False)
+
+
+def without_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_docs: int = 10) -> DataFrame:
+    """The rows of docs with all their columns, their texts without the lines that dedup_lines drops.
+
+    ``length_col`` gets the new text's length.  A row of whose text no word is
+    left after dropping lines goes; rows that lose no line stay as they are,
+    null texts included.
+    """
+    out = _kept(docs, id_col, text_col, min_docs, whole_rows=True)
+    out = out.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(SPACES)) != ""))
+    changed = F.col("n_dropped") > 0
+    new = {text_col: F.when(changed, F.col("kept"))} | ({length_col: F.when(changed, F.length("kept").cast(docs.schema[length_col].dataType))} if length_col else {})
+    return out.select(*(F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

@@ -246,3 +246,15 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     named = materialise(named.join(names, "label").select("a", "b", "n", "component_id"))
     out = digests.select("doc_id", "n", "a", "b").join(named, ["a", "b", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their group of linked rows.
+
+    Groups are those of similar_groups.  Repeated rows with such an id become
+    one; rows without id stay if all rows of their group lack one, equal texts once.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
+    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")))
+    out = docs.join(kept.select("kept_id"), docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    return out.dropDuplicates([id_col, text_col]) if kept.where("rows > 1").limit(1).count() else out
