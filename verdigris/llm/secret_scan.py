@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
 Candidates are long runs of key characters.  Each candidate's encoding is
-inferred (hexadecimal, base 32, base 64), and three tests ask whether it could
-be uniformly random in that alphabet: chi-squared of the symbol counts, runs
-above and below the middle of the alphabet, and lag-1 serial correlation.
+inferred (hexadecimal, base 32, base 64), and tests ask whether it could be
+uniformly random in that alphabet: chi-squared of the symbol counts and of the
+counts by class of symbol (capitals, small letters, digits, marks), runs above
+and below the middle of the alphabet, and lag-1 serial correlation.
 Fisher's method combines them.  A weighted Benjamini-Hochberg procedure over all
 distinct candidates of the corpus rejects those that aren't random; a
 candidate's weight is its length, as a longer one gives the tests more power.
@@ -36,6 +37,7 @@ FULL_WEIGHT = 128
 #: p-values are ranked on a logarithmic grid of so many steps for each power of ten, up to this power.
 STEPS, POWERS = 64, 200
 ALPHABETS = {"hex": "0123456789abcdef", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/"]
 _CHUNK = 256
 
 
@@ -89,12 +91,13 @@ def _rest(rows: DataFrame) -> DataFrame:
 
 def _tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution (Abramowitz and Stegun 26.2.17, absolute error below 1e-7, and Mills' ratio far out)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    near = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    ratio = F.when(a < 6, near).otherwise(1 / (a + 1 / a))
-    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
-    return F.greatest(F.least(2 * density * ratio, F.lit(1.0)), F.lit(1e-60))
+
+    def of(a: Column) -> Column:
+        near = let(1 / (1 + 0.2316419 * a), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+        return F.greatest(F.least(2 * density * F.when(a < 6, near).otherwise(1 / (a + 1 / a)), F.lit(1.0)), F.lit(1e-60))
+
+    return let(F.abs(z), of)
 
 
 def encoding(token: Column) -> Column:
@@ -115,6 +118,13 @@ def _randomness(symbols: Column, alphabet: str) -> Column:
     chi = F.pow((squares * k / n - n) / (k - 1), F.lit(1 / 3))
     z_chi = (chi - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
 
+    sizes = [len(c) for x in CLASSES if (c := [a for a in alphabet if a in x])]
+    counts = [n - F.length(F.translate(symbols, "".join(a for a in alphabet if a in x), "")) for x in CLASSES if any(a in x for a in alphabet)]
+    df = len(sizes) - 1
+    by_class = sum(F.pow(c.cast("double"), F.lit(2.0)) * k / (n * size) for c, size in zip(counts, sizes, strict=True)) - n
+    z_class = (F.pow(F.greatest(by_class, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    p_class = let(z_class, lambda z: F.when(z > 0, _tail(z) / 2).otherwise(1 - _tail(z) / 2))
+
     half = F.translate(symbols, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
 
     def runs(bits: Column) -> Column:
@@ -127,8 +137,8 @@ def _randomness(symbols: Column, alphabet: str) -> Column:
     values = F.transform(F.split(symbols, ""), lambda c: F.instr(F.lit(alphabet), c) - (k + 1) / 2)
     serial = let(values, lambda v: _sum(F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), 0.0))
     z_serial = serial / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    x = -(F.ln(_tail(z_chi)) + F.ln(_tail(let(half, runs))) + F.ln(_tail(z_serial)))
-    return let(x, lambda y: F.exp(-y) * (1 + y + y * y / 2))  # chi-squared with six degrees of freedom
+    x = -(F.ln(_tail(z_chi)) + F.ln(p_class) + F.ln(_tail(let(half, runs))) + F.ln(_tail(z_serial)))
+    return let(x, lambda y: F.exp(-y) * (1 + y + y * y / 2 + y * y * y / 6))  # chi-squared with eight degrees of freedom
 
 
 def p_random(token: Column) -> Column:
