@@ -1,0 +1,5 @@
+"""All queries; importing the package registers them."""
+
+from verdigris.plans import aggregates, joins, sampling, scans, text, windows
+
+__all__ = ["aggregates", "joins", "sampling", "scans", "text", "windows"]
