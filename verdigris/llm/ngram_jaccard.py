@@ -1,19 +1,22 @@
 """Similarity join on word shingles with prefix filters under several token orders.
 
 Texts with the same shingles become one node, so copies cost nothing further.
-Two sets can only be similar if their prefixes share tokens under *every* global
-order of tokens; nodes that fail this under one order are gone before the next:
+Two sets can only be similar if their prefixes share enough tokens under *every*
+global order of tokens; nodes that fail this under one order are gone before the next:
 
 1. order 1 (by hash): a node stays if enough tokens of its prefix are found in
-   another node's prefix; only these prefixes, some 12 % of all shingles at a
-   similarity of 0.9, are shuffled.
+   another node's prefix; only these prefixes are shuffled.
 2. order 2 (by another hash): the same among those left.
 3. rarest first: the tokens that remain in order 1, by their number of nodes;
-   nodes that share one of their rarest tokens are put together.
-
-Groups of nodes that may be similar are cut into blocks of bounded size.  A task
-holds two blocks, filters their pairs once more by both orders, and gives back
-only the links that connect what wasn't connected, never all pairs.
+   similar nodes share one of their rarest tokens, their keys.
+
+Among the nodes of a key, a parity sketch of each set bounds the difference of
+two sets from below, so that pairs which can't be similar are seen without the
+sets.  First each node is held against a few leaders of its keys, and the links
+found are verified on the whole sets; that joins large groups of near copies in
+linear work.  Then the pairs of a key that aren't connected yet are held against
+each other, in blocks of bounded size, and verified.  Pairs within a group that
+is connected already are never made.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from verdigris.llm.common import materialise
 from verdigris.llm.components import connected
 from verdigris.llm.shingles import WordHashes, mix, shingle_set
 
-#: Shingles of a block.
-BLOCK = 400_000
+#: Nodes of a block, when a key has more.
+BLOCK = 4000
 _HASHES = WordHashes()
 
 
@@ -42,7 +45,7 @@ def needed(n: int, percent: int) -> int:
 
 def shared(n: int, percent: int) -> int:
     """Prefix tokens that a set of n shingles and a similar one of no more share at least, for prefixes of prefix_size."""
-    return 1 + (n - needed(n, percent)) // 8
+    return 1 + (n - needed(n, percent)) // 2
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -91,7 +94,7 @@ def _digest(text: Column, size: int, percent: int) -> Column:
 def _sure(n: Column, percent: int) -> Column:
     up = lambda x: F.floor((percent * x + 99) / 100)
     need = up(n)
-    return (1 + F.floor((need - up(need)) / 8)).cast("int")
+    return (1 + F.floor((need - up(need)) / 2)).cast("int")
 
 
 def _common(nodes: DataFrame, percent: int) -> DataFrame:
@@ -103,97 +106,109 @@ def _common(nodes: DataFrame, percent: int) -> DataFrame:
     return out.select("node", "n", F.slice("found.t", F.lit(1), F.size("found") - F.col("sure") + 1).alias("keys"))
 
 
-def _edges(keys: DataFrame) -> DataFrame:
-    """Links each node to the smallest one with the same key."""
-    rows = keys.select("node", F.explode("keys").alias("t"))
-    first = materialise(rows.groupBy("t").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    return rows.join(first, "t").select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-class _Postings:
-    """Which sets have each token, for a few sets at a time."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        values, self.token = np.unique(np.concatenate(rows), return_inverse=True)
-        self.end = np.cumsum(size)
-        self.begin = self.end - size
-        at = np.argsort(self.token, kind="stable")
-        self.set_of = np.repeat(np.arange(len(rows)), size)[at]
-        self.stop = np.cumsum(np.bincount(self.token, minlength=len(values)))
-        self.start = np.r_[0, self.stop[:-1]]
-        self.many = self.stop - self.start > 1
-        self.n = len(rows)
-
-    def overlap(self, i: int) -> np.ndarray:
-        """Tokens that set i has in common with each set."""
-        mine = self.token[self.begin[i] : self.end[i]]
-        mine = mine[self.many[mine]]
-        if not len(mine):
-            return np.zeros(self.n, np.int64)
-        return np.bincount(np.concatenate([self.set_of[a:b] for a, b in zip(self.start[mine].tolist(), self.stop[mine].tolist(), strict=True)]), minlength=self.n)
-
-
-def block_links(nodes: list[int], blocks: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar sets of one block, or of two different ones where there are two."""
-    m = len(nodes)
-    root = list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out: list[tuple[int, int]] = []
-    size = np.fromiter(map(len, sets), np.int64, m)
-    block = np.array(blocks)
-    two = len(set(blocks)) > 1
-    if m > 2:
-        first = _Postings([s[: prefix_size(len(s), percent)] for s in sets])
-        second = _Postings([_prefix2(s, percent) for s in sets])
-        whole = _Postings(sets)
-    for i in range(1, m):
-        if m > 2:
-            may = (first.overlap(i)[:i] > 0) & (second.overlap(i)[:i] > 0)
-        else:
-            may = np.ones(i, bool)
-        may &= (100 * size[:i] >= percent * size[i]) & (100 * size[i] >= percent * size[:i])
-        if two:
-            may &= block[:i] != block[i]
-        left = [j for j in np.flatnonzero(may).tolist() if find(j) != find(i)]
-        if not left:
-            continue
-        both = whole.overlap(i) if m > 2 else {0: len(np.intersect1d(sets[0], sets[1], assume_unique=True))}
-        for j in left:
-            if 100 * both[j] >= percent * (size[i] + size[j] - both[j]) and find(j) != find(i):
-                root[find(j)] = find(i)
-                out.append((nodes[i], nodes[j]))
-    return out
-
-
-def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows (grp, i, j, block, node, s) of the same grp, i, j, which come in a row."""
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each of 512 to 2048 bins."""
+    bits = 512 if len(s) <= 2000 else 1024 if len(s) <= 4500 else 2048
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class _Group:
+    """The nodes of a key, or of two blocks of one, with their sketches."""
+
+    def __init__(self, sizes: list[int], sketches: list[bytes], percent: int):
+        self.n, self.percent = np.array(sizes, np.int64), percent
+        self.full = [np.frombuffer(k, np.uint64) for k in sketches]
+        self.short = np.zeros((len(sizes), 8), np.uint64)
+        for i, k in enumerate(self.full):  # bins with the same low bits fold into one
+            self.short[i] = np.bitwise_xor.reduce(k.reshape(-1, 8), axis=0)
+
+    def may(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that the sizes and the sketches allow to be similar to node i."""
+        n, m = self.n[i], self.n[others]
+        least = -(-self.percent * (n + m) // (100 + self.percent))
+        most = n + m - 2 * least  # tokens in one set alone
+        ok = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (np.bitwise_count(self.short[i] ^ self.short[others]).sum(axis=1) <= most)
+        found = others[ok]
+        if len(self.full[i]) > 8 and len(found):
+            found = np.array([j for j, d in zip(found.tolist(), most[ok].tolist(), strict=True) if len(self.full[j]) != len(self.full[i]) or int(np.bitwise_count(self.full[i] ^ self.full[j]).sum()) <= d], np.int64)
+        return found
+
+    def leader_links(self) -> list[tuple[int, int]]:
+        """Each node, in order of size, with the first leader it may be similar to; one without becomes a leader."""
+        leaders, out, small = [0], [], 0
+        for i in range(1, len(self.n)):
+            while small < len(leaders) and 100 * self.n[leaders[small]] < self.percent * self.n[i]:
+                small += 1
+            found = self.may(i, np.array(leaders[small:], np.int64)) if small < len(leaders) else ()
+            if len(found):
+                out.append((i, int(found[0])))
+            else:
+                leaders.append(i)
+        return out
+
+    def cross_links(self, labels: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int]]:
+        """All pairs that may be similar, of different labels; of different blocks where there are two."""
+        out, two = [], blocks.min() != blocks.max()
+        for i in range(1, len(self.n)):
+            other = labels[:i] != labels[i]
+            if two:
+                other &= blocks[:i] != blocks[i]
+            out += [(i, j) for j in self.may(i, np.flatnonzero(other)).tolist()]
+        return out
+
+
+def _candidates(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
+    """Pairs a > b of nodes, from rows (t, i, j, block, label, node, n, k) in which those of the same t, i, j come in a row."""
+
+    def pairs(held: list[tuple]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        group = _Group([x[5] for x in held], [x[6] for x in held], percent)
+        got = group.cross_links(np.array([x[3] for x in held]), np.array([x[2] for x in held])) if cross else group.leader_links()
+        nodes = [x[4] for x in held]
+        return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in got]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, nodes, blocks, sets, links = None, [], [], [], []
+        here, held, out = None, [], set()
         for batch in batches:
-            lists = batch.column("s")
-            flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "block", "node")), strict=True)
-            for k, (g, i, j, block, node) in enumerate(keys):
-                if (g, i, j) != here:
-                    links += block_links(nodes, blocks, sets, percent) if len(nodes) > 1 else []
-                    here, nodes, blocks, sets = (g, i, j), [], [], []
-                nodes.append(node)
-                blocks.append(block)
-                sets.append(flat[ends[k] : ends[k + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
-            links = []
-        links = block_links(nodes, blocks, sets, percent) if len(nodes) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("t", "i", "j", "block", "label", "node", "n", "k")), strict=True):
+                key = row[:3]
+                if key != here:
+                    out.update(pairs(held))
+                    here, held = key, []
+                held.append(row[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            out = set()
+        out.update(pairs(held))
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    placed = rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n", "node").select("t", "i", "j", "block", "label", "node", "n", "k")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    left, right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    both = pairs.join(left, "b").join(right, "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("sum"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return both.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
+def _links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all similar nodes; keys has node, n, keys."""
+    own = keys.join(sets.select("node", "k"), "node").select("node", "n", "k", F.explode("keys").alias("t"))
+    counts = materialise(keys.select(F.explode("keys").alias("t")).groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    own = own.join(counts, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    near = materialise(_candidates(own.select("t", F.col("block").alias("i"), F.lit(0).alias("j"), "block", F.lit(0).cast("long").alias("label"), "node", "n", "k"), percent, cross=False))
+    first = materialise(_verified(near, sets, percent))
+
+    labels = materialise(connected(first))
+    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = materialise(own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    rest = own.join(mixed, "t", "left_semi").select("t", "block", "label", "node", "n", "k", other)
+    rest = rest.select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "node", "n", "k")
+    far = materialise(_candidates(rest, percent, cross=True).join(near, ["a", "b"], "left_anti"))
+    return first.unionByName(_verified(far, sets, percent))
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -216,31 +231,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # whole sets of the nodes that are left, from their texts
     wanted = nodes.join(first.select("node"), "node").select("node", "n", "a", "b", F.col("rep").alias("doc_id"))
 
-    @F.arrow_udf("a long, b long, s array<long>")
+    @F.arrow_udf("a long, b long, s array<long>, q array<long>, k binary")
     def whole(texts: pa.Array) -> pa.Array:
         sets = [tokens(t.as_py(), words) for t in texts]
         ab = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), _ragged(sets)], names=["a", "b", "s"])
+        return pa.StructArray.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), _ragged(sets), _ragged([_prefix2(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())], names=["a", "b", "s", "q", "k"])
 
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "n", "a", "b", "text")
-    sets = texts.withColumn("w", whole(F.col("text"))).where("w.a = a AND w.b = b").select("node", "n", "w.s")
-    sets = materialise(sets)
-
-    @F.arrow_udf("array<long>")
-    def second_prefix(s: pa.Array) -> pa.Array:
-        flat, ends = s.values.to_numpy().view(np.uint64), s.offsets.to_numpy()
-        return _ragged([_prefix2(flat[x:y], percent) for x, y in zip(ends[:-1], ends[1:], strict=True)])
-
-    one = sets.groupBy("node").agg(F.any_value("n").alias("n"))
-    second = materialise(_common(sets.select("node", "n", second_prefix(F.col("s")).alias("p")), percent).select("node"))
+    sets = texts.withColumn("w", whole(F.col("text"))).where("w.a = a AND w.b = b").select("node", "n", "w.s", "w.q", "w.k")
+    sets = materialise(sets.dropDuplicates(["node"]))
+    second = materialise(_common(sets.select("node", "n", F.col("q").alias("p")), percent).select("node"))
     third = materialise(_common(nodes.join(second, "node", "left_semi").select("node", "n", "p"), percent))
-    groups = materialise(connected(_edges(third)).join(one, "node"))
-    total = groups.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(total, "label").select("node", F.col("label").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    placed = placed.select("node", "grp", "block", other).select("node", "grp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    pairs = sets.select("node", "s").join(placed, "node").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").select("grp", "i", "j", "block", "node", "s")
-    linked = connected(_verify(pairs, percent))
+    linked = connected(_links(third, sets, percent))
     named = nodes.select("node", "a", "b", "n", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(names, "label").select("a", "b", "n", "component_id"))
