@@ -14,9 +14,10 @@ Among the nodes of a key, a parity sketch of each set bounds the difference of
 two sets from below, so that pairs which can't be similar are seen without the
 sets.  First each node is held against a few leaders of its keys, and the links
 found are verified on the whole sets; that joins large groups of near copies in
-linear work.  Then the pairs of a key that aren't connected yet are held against
-each other, in blocks of bounded size, and verified.  Pairs within a group that
-is connected already are never made.
+linear work.  Then the nodes of a key that aren't connected yet are held against
+each other, in blocks of bounded size: once for pairs that would connect what
+isn't, a forest, which is verified; and once more for all pairs between what is
+still not connected.  Pairs within a group that is connected are never made.
 """
 
 from __future__ import annotations
@@ -146,25 +147,30 @@ class _Group:
                 leaders.append(i)
         return out
 
-    def cross_links(self, labels: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int]]:
-        """All pairs that may be similar, of different labels; of different blocks where there are two."""
-        out, two = [], blocks.min() != blocks.max()
+    def cross_links(self, labels: np.ndarray, blocks: np.ndarray, forest: bool) -> list[tuple[int, int]]:
+        """Pairs that may be similar, of different labels, and of different blocks where there are two: all of them, or a forest that connects the labels."""
+        out, two, labels = [], blocks.min() != blocks.max(), labels.copy()
         for i in range(1, len(self.n)):
             other = labels[:i] != labels[i]
             if two:
                 other &= blocks[:i] != blocks[i]
-            out += [(i, j) for j in self.may(i, np.flatnonzero(other)).tolist()]
+            for j in self.may(i, np.flatnonzero(other)).tolist():
+                if not forest:
+                    out.append((i, j))
+                elif labels[i] != labels[j]:
+                    out.append((i, j))
+                    labels[labels == labels[i]] = labels[j]
         return out
 
 
-def _candidates(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Pairs a > b of nodes, from rows (t, i, j, block, label, node, n, k) in which those of the same t, i, j come in a row."""
+def _candidates(rows: DataFrame, percent: int, step: str) -> DataFrame:
+    """Pairs a > b of nodes for a step (leaders, forest or all), from rows (t, i, j, block, label, node, n, k) in which those of the same t, i, j come in a row."""
 
     def pairs(held: list[tuple]) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
         group = _Group([x[5] for x in held], [x[6] for x in held], percent)
-        got = group.cross_links(np.array([x[3] for x in held]), np.array([x[2] for x in held])) if cross else group.leader_links()
+        got = group.leader_links() if step == "leaders" else group.cross_links(np.array([x[3] for x in held]), np.array([x[2] for x in held]), step == "forest")
         nodes = [x[4] for x in held]
         return [(max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in got]
 
@@ -182,7 +188,9 @@ def _candidates(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
         out.update(pairs(held))
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    placed = rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n", "node").select("t", "i", "j", "block", "label", "node", "n", "k")
+    # a forest of each key in another order: where sketches mislead one, others still connect the same nodes
+    order = F.xxhash64("t", "node") if step == "forest" else F.col("n")
+    placed = rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", order, "node").select("t", "i", "j", "block", "label", "node", "n", "k")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -198,17 +206,19 @@ def _links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = keys.join(sets.select("node", "k"), "node").select("node", "n", "k", F.explode("keys").alias("t"))
     counts = materialise(keys.select(F.explode("keys").alias("t")).groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c"))
     own = own.join(counts, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = materialise(_candidates(own.select("t", F.col("block").alias("i"), F.lit(0).alias("j"), "block", F.lit(0).cast("long").alias("label"), "node", "n", "k"), percent, cross=False))
+    near = materialise(_candidates(own.select("t", F.col("block").alias("i"), F.lit(0).alias("j"), "block", F.lit(0).cast("long").alias("label"), "node", "n", "k"), percent, "leaders"))
     first = materialise(_verified(near, sets, percent))
 
-    labels = materialise(connected(first))
-    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = materialise(own.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rest = own.join(mixed, "t", "left_semi").select("t", "block", "label", "node", "n", "k", other)
-    rest = rest.select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "node", "n", "k")
-    far = materialise(_candidates(rest, percent, cross=True).join(near, ["a", "b"], "left_anti"))
-    return first.unionByName(_verified(far, sets, percent))
+    tested, links = near, first
+    for step in ("forest", "all"):
+        labelled = own.join(materialise(connected(links)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = materialise(labelled.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+        rest = labelled.join(mixed, "t", "left_semi").select("t", "block", "label", "node", "n", "k", other)
+        rest = rest.select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "node", "n", "k")
+        found = materialise(_candidates(rest, percent, step).join(tested, ["a", "b"], "left_anti"))
+        tested, links = tested.unionByName(found), links.unionByName(materialise(_verified(found, sets, percent)))
+    return links
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
