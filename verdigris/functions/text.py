@@ -28,7 +28,7 @@ def normalise_blanks(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Trimmed lines that have a character."""
-    return F.filter(F.transform(F.split(text, "\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n+"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
 def content_hash(text: Column) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.hashing import shuffled, stratum_seed
 
-ALGORITHM = "stratified-fisher-yates-mulberry32-v1"
+#: Part of each stratum's seed, so a fixed value.
+ALGORITHM = "stratified-seeded-v1"
 MOST_SHUFFLED = 1_000_000
 
 

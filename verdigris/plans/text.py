@@ -29,7 +29,7 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.normalise_blanks(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("t03_paragraphs", r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM documents")
+@query("t03_paragraphs", r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')) AS n FROM documents")
 def t03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tx.paragraphs(F.col("text"))).cast("long").alias("n"))
 
