@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have; those that are nothing else go."""
-    return line_dedup.without_frequent_lines(docs, length_col="n_chars", min_docs=10)
+    """All documents, without the lines that ten or more distinct texts have; which copy stays is for the next stage."""
+    return line_dedup.without_frequent_lines(docs, length_col="n_chars", min_docs=10, by_text=True, keep_empty=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

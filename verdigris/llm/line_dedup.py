@@ -27,23 +27,25 @@ def _hash(key: Column) -> Column:
     return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int, by_text: bool = False) -> DataFrame:
     """Hashes of the line keys found in at least min_docs documents; docs has row_key and text.
 
-    A key counts once per document, and repeated rows are one document.
+    A key counts once per document, and repeated rows are one document; so are
+    all rows of the same text with ``by_text``.
     """
+    doc = F.col("row_key.h" if by_text else "row_key")
     hashes = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: _hash(line_key(x))), lambda h: h.isNotNull()))
-    found = docs.select("row_key", F.explode(hashes).alias("h"))
-    return found.groupBy("h").agg(F.count_distinct("row_key").alias("n")).where(F.col("n") >= min_docs).select("h")
+    found = docs.select(doc.alias("doc"), F.explode(hashes).alias("h"))
+    return found.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("h")
 
 
-def _kept(docs: DataFrame, id_col: str, text_col: str, min_docs: int, whole_rows: bool) -> DataFrame:
+def _kept(docs: DataFrame, id_col: str, text_col: str, min_docs: int, whole_rows: bool, by_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept; and the whole input row as a struct, if asked for."""
     more = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole_rows else []
     keyed = with_row_key(docs, id_col, text_col, *more)
     rows = with_row_key(docs, id_col, text_col)
     lines = rows.select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    frequent = materialise(frequent_lines(rows, min_docs))
+    frequent = materialise(frequent_lines(rows, min_docs, by_text))
     hits = lines.select("row_key", "pos", _hash(line_key(F.col("line"))).alias("h")).where(F.col("h").isNotNull())
     dropped = hits.join(frequent, "h", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
     extra = ["row"] if whole_rows else []
@@ -79,15 +81,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return _kept(docs, id_col, text_col, min_docs, whole_rows=False)
 
 
-def without_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_docs: int = 10) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_docs: int = 10, by_text: bool = False, keep_empty: bool = False) -> DataFrame:
     """The rows of docs with all their columns, their texts without the lines that dedup_lines drops.
 
     ``length_col`` gets the new text's length.  A row of whose text no word is
-    left after dropping lines goes; rows that lose no line stay as they are,
-    null texts included.
+    left after dropping lines goes, or stays with what is left with
+    ``keep_empty``; rows that lose no line stay as they are, null texts included.
+    With ``by_text`` a key counts once per distinct text, so a group of exact
+    copies is one document and doesn't make its own lines frequent.
     """
-    out = _kept(docs, id_col, text_col, min_docs, whole_rows=True)
-    out = out.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(SPACES)) != ""))
+    out = _kept(docs, id_col, text_col, min_docs, whole_rows=True, by_text=by_text)
+    if not keep_empty:
+        out = out.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(SPACES)) != ""))
     changed = F.col("n_dropped") > 0
     new = {text_col: F.when(changed, F.col("kept"))} | ({length_col: F.when(changed, F.length("kept").cast(docs.schema[length_col].dataType))} if length_col else {})
     return out.select(*(F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
