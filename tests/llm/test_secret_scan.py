@@ -6,6 +6,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from verdigris.llm import secret_scan
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -38,14 +40,52 @@ def test_base_spans_equal_plain_regular_expressions(spark):
         assert set(filter(None, spans.split(","))) <= set(got[k]["spans"].split(","))
 
 
+ORDINARY = [
+    "-" * 40, "/usr/local/share/documentation/files", "internationalizationalism", "erberbeeinheitkeiter", "THISISALLCAPITALSHEADING", "123456789012345678901234567890", "550e8400-e29b-41d4-a716-446655440000",
+    "2023-01-01T00-00-00Z_backup_file_name_v2", "==========================", "AaAaAaAaAaAaAaAa11111111", "_" * 25 + "1aA", "Some/Path/To/ThingNumber1/With/Other/Parts2",
+]
+
+
 def test_random_keys_are_found_and_words_are_not(spark):
     rnd = random.Random(3)
-    keys = [base64.b64encode(rnd.randbytes(30)).decode() for _ in range(40)] + [base64.b32encode(rnd.randbytes(25)).decode() for _ in range(20)]
-    words = ["ThisIsALongIdentifierNumber%dOfTheProgram" % k for k in range(40)] + ["AaAaAaAaAaAaAaAa1111111111%d" % k for k in range(20)]
-    rows = [(k, f"see {t} here", 0, "") for k, t in enumerate(keys + words)]
+    alphabets = {"hex": "0123456789ABCDEF", "b32": secret_scan.ALPHABETS["b32"], "b32u": secret_scan.ALPHABETS["b32"].upper(), "b36": secret_scan.ALPHABETS["b36"], "b64": secret_scan.ALPHABETS["b64"]}
+    keys = [(name, "".join(rnd.choice(a) for _ in range(rnd.choice([24, 32, 40, 64])))) for name, a in alphabets.items() for _ in range(60)]
+    names = ["ThisIsALongIdentifierNumber%dOfTheProgram" % k for k in range(60)] + ["AaAaAaAaAaAaAaAa1111111111%d" % k for k in range(20)]
+    frames = ["see {} here", "AWS_ACCESS_NAME={}", "http://h.example.com/a?sig={}", '"x":"{}"']
+    texts = [(frames[k % 4], t) for k, (_, t) in enumerate(keys)] + [(frames[0], t) for t in names + ORDINARY]
+    rows = [(k, f.format(t), 0, "") for k, (f, t) in enumerate(texts)]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert sum(f"random:4:{4 + len(t)}" == got[k] for k, t in enumerate(keys)) >= 57
-    assert sum(bool(got[k]) for k in range(60, 120)) <= 2
+    for name in alphabets:
+        mine = [k for k, (n, _) in enumerate(keys) if n == name]
+        exact = [k for k in mine if got[k] == f"random:{texts[k][0].index('{}')}:{texts[k][0].index('{}') + len(texts[k][1])}"]
+        assert len(exact) >= 0.9 * len(mine), name
+    assert not [(texts[k][1], got[k]) for k in range(len(texts) - len(ORDINARY), len(texts)) if "random" in got[k]]
+    false = sum("random" in got[k] for k in range(len(keys), len(texts)))
+    assert false <= 2 * secret_scan.ALPHA * len(keys)
+
+
+def test_spans_against_plain_choice_of_candidates(spark):
+    rnd = random.Random(9)
+    key = lambda n: "".join(rnd.choice(secret_scan.ALPHABETS["b64"][:62]) for _ in range(n))
+    again = key(44)
+    rows = [(k, t, 0, "") for k, t in enumerate([f"/srv/data/{key(48)}", f"{again} {again}==", f"password: {key(30)} {key(40)}", f"{key(40)}/{key(40)}", "no", f"{key(19)} {key(200)}", ""] + [key(40) for _ in range(30)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text = {r[0]: r[1] for r in rows}
+    tokens = sorted({m[0] for t in text.values() for p in (secret_scan.CANDIDATE, secret_scan.INNER) for m in re.finditer(p, ASSIGN.sub(lambda m: " " * len(m[0]), t))})
+    p = dict(spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.p_random(F.col("t"))).collect())
+    values = {}
+    for t in tokens:
+        size = len(t.rstrip("="))
+        values[t] = min(p[t] * min(size, 128) / 20, 1.0) if p[t] is not None else 0
+    step = lambda t: min(math.floor(-math.log10(values[t]) * secret_scan.STEPS), secret_scan.STEPS * secret_scan.POWERS) if values[t] > 0 else 99
+    found = spark.createDataFrame([(t, len(t.rstrip("=")), step(t), p[t]) for t in tokens if p[t] is not None], "h string, length int, step int, p double")
+    limit = secret_scan.threshold(found, secret_scan.ALPHA)
+    assert limit >= 0
+    for r in secret_scan.scan(docs).collect():
+        rest = ASSIGN.sub(lambda m: " " * len(m[0]), text[r["doc_id"]])
+        whole = [m.span() for m in re.finditer(secret_scan.CANDIDATE, rest) if step(m[0]) <= limit]
+        inner = [m.span() for m in re.finditer(secret_scan.INNER, rest) if step(m[0]) <= limit and not any(a < m.end() and m.start() < b for a, b in whole)]
+        assert [x for x in r["spans"].split(",") if x.startswith("random")] == [f"random:{a}:{b}" for a, b in sorted(whole + inner)]
 
 
 def test_p_value_against_plain_arithmetic(spark):
@@ -69,7 +109,12 @@ def test_p_value_against_plain_arithmetic(spark):
         df = len(classes) - 1
         z4 = ((max(by_class, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
         x = -sum(math.log(max(math.erfc(abs(z) / math.sqrt(2)), 1e-60)) for z in (z1, z2, z3)) - math.log(math.erfc(z4 / math.sqrt(2)) / 2)
-        expected = math.exp(-x) * (1 + x + x * x / 2 + x**3 / 6)
+        sizes = [len(c) / k for c in classes]
+        square, cube = sum(q**2 for q in sizes), sum(q**3 for q in sizes)
+        kind = [next(i for i, c in enumerate(classes) if s in c) for s in symbols]
+        z5 = (sum(a == b for a, b in zip(kind, kind[1:])) - (n - 1) * square) / math.sqrt((n - 1) * (square - square**2) + 2 * (n - 2) * (cube - square**2))
+        x -= math.log(max(math.erfc(abs(z5) / math.sqrt(2)), 1e-60))
+        expected = math.exp(-x) * (1 + x + x * x / 2 + x**3 / 6 + x**4 / 24)
         assert math.isclose(p, expected, rel_tol=2e-2, abs_tol=1e-7), t
 
 

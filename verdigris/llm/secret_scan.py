@@ -1,17 +1,22 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
-Candidates are long runs of key characters.  Each candidate's encoding is
-inferred (hexadecimal, base 32, base 64), and tests ask whether it could be
-uniformly random in that alphabet: chi-squared of the symbol counts and of the
-counts by class of symbol (capitals, small letters, digits, marks), runs above
-and below the middle of the alphabet, and lag-1 serial correlation.
-Fisher's method combines them.  A weighted Benjamini-Hochberg procedure over all
-distinct candidates of the corpus rejects those that aren't random; a
-candidate's weight is its length, as a longer one gives the tests more power.
-What isn't rejected is a secret.
-
-The tests depend on the candidate alone and the procedure leaves one number, so
-texts are never shuffled or joined.  Native: DataFrame functions only.
+Candidates are long runs of key characters, and the runs of letters and digits
+within them.  Each candidate's encoding is inferred (hexadecimal, base 32, base
+36, base 64), and tests ask whether it could be uniformly random in that
+alphabet: chi-squared of the symbol counts and of the counts by class of symbol
+(capitals, small letters, digits, marks), runs above and below the middle of the
+alphabet and of symbols of one class, and lag-1 serial correlation.  Fisher's method combines them; a
+candidate without encoding has no p-value and is no secret.
+
+A random candidate's p-value is uniform, so those above one half tell how many
+random candidates the corpus has, and how many of them any threshold claims; what
+it claims beyond that are ordinary candidates, the false discoveries.  The
+threshold is the lowest at which their share of all claims stays within
+``alpha``.  It falls with a candidate's length, as ordinary text of twice the
+length has a far smaller p-value.  Only counts by length and p-value decide.
+
+The tests depend on the candidate alone, so texts are read once and never
+shuffled or joined.  Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import materialise
+
 # Fixed values of the contract: kinds in their order, patterns, least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -29,14 +36,22 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Candidates of the method, and the share of rejected ones that may be secrets.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the method, runs within them, and the share of claimed secrets that may be ordinary text.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+INNER = r"[A-Za-z0-9]{20,}"
 ALPHA = 0.05
-#: Lengths count towards the weight up to this.
-FULL_WEIGHT = 128
-#: p-values are ranked on a logarithmic grid of so many steps for each power of ten, up to this power.
-STEPS, POWERS = 64, 200
-ALPHABETS = {"hex": "0123456789abcdef", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: The p-value from which on a candidate counts as random when their number is estimated.
+HALF = 0.5
+#: p-values are counted on a grid of so many steps for each power of ten, down to this power; below it nothing is claimed.
+STEPS, POWERS = 16, 2
+#: p-values are weighted by length over the first number; lengths count up to the second.
+BASE_LENGTH, FULL_LENGTH = 20, 128
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "b32": "abcdefghijklmnopqrstuvwxyz234567",
+    "b36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
 CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/"]
 _CHUNK = 256
 
@@ -101,12 +116,14 @@ def _tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The name of the alphabet that a token seems to be written in; null for words and numbers, which no encoding needs."""
-    digit, upper, lower = token.rlike("[0-9]"), token.rlike("[A-Z]"), token.rlike("[a-z]")
-    return (
-        F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (upper | lower), "hex")
-        .when(token.rlike("^[A-Z2-7]+$") & digit, "b32")
-        .when(token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$") & digit & upper & lower, "b64")
+    """The name of the alphabet that a token seems to be written in; null for words, paths and numbers, which no encoding needs."""
+    one_case = token.rlike("^([0-9a-z]+|[0-9A-Z]+)$") & token.rlike("[a-zA-Z]")
+    return F.when(
+        token.rlike("[0-9]"),
+        F.when(one_case & token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(one_case & token.rlike("^[a-zA-Z2-7]+$"), "b32")
+        .when(one_case, "b36")
+        .when(token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$") & token.rlike("[A-Z]") & token.rlike("[a-z]"), "b64"),
     )
 
 
@@ -137,49 +154,61 @@ def _randomness(symbols: Column, alphabet: str) -> Column:
     values = F.transform(F.split(symbols, ""), lambda c: F.instr(F.lit(alphabet), c) - (k + 1) / 2)
     serial = let(values, lambda v: _sum(F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), 0.0))
     z_serial = serial / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    x = -(F.ln(_tail(z_chi)) + F.ln(p_class) + F.ln(_tail(let(half, runs))) + F.ln(_tail(z_serial)))
-    return let(x, lambda y: F.exp(-y) * (1 + y + y * y / 2 + y * y * y / 6))  # chi-squared with eight degrees of freedom
+    # runs of symbols of one class, which ordinary names have too few of
+    square, cube = (sum((size / k) ** power for size in sizes) for power in (2, 3))
+    same = n - F.regexp_count(F.translate(symbols, "".join(CLASSES), "".join(x[0] * len(x) for x in CLASSES)), F.lit(r"(.)\1*"))
+    z_same = (same - (n - 1) * square) / F.sqrt((n - 1) * (square - square**2) + 2 * (n - 2) * (cube - square**2))
+    x = -(F.ln(_tail(z_chi)) + F.ln(p_class) + F.ln(_tail(let(half, runs))) + F.ln(_tail(z_same)) + F.ln(_tail(z_serial)))
+    return let(x, lambda y: F.exp(-y) * (1 + y + y * y / 2 + y * y * y / 6 + y * y * y * y / 24))  # chi-squared with ten degrees of freedom
 
 
 def p_random(token: Column) -> Column:
     """p-value of the hypothesis that a token is random in its encoding; null without encoding."""
-    bare = F.rtrim(F.translate(token, "=", " "))
+    bare = F.regexp_replace(token, "=+$", "")
 
     def by_encoding(t: Column) -> Column:
-        kind = encoding(t)
-        return (
-            F.when(kind == "hex", _randomness(F.lower(t), ALPHABETS["hex"]))
-            .when(kind == "b32", _randomness(t, ALPHABETS["b32"]))
-            .when(kind == "b64", _randomness(F.translate(t, "-_", "+/"), ALPHABETS["b64"]))
-        )
+        def of(kind: Column) -> Column:
+            out = F.when(kind == "b64", _randomness(F.translate(t, "-_", "+/"), ALPHABETS["b64"]))
+            for name in ("hex", "b32", "b36"):
+                out = out.when(kind == name, _randomness(F.lower(t), ALPHABETS[name]))
+            return out
+
+        return let(encoding(t), of)
 
     return let(bare, by_encoding)
 
 
-def _step(p: Column, weight: Column) -> Column:
-    """Place of a weighted p-value on the grid; higher for smaller ones."""
-    return F.least(F.greatest(F.floor(-F.log10(p / weight) * STEPS), F.lit(0)), F.lit(STEPS * POWERS)).cast("int")
+def _step(p: Column, length: Column) -> Column:
+    """Place of a p-value on the grid, raised by the length; higher for less random ones, null for null."""
+    scaled = p * F.least(length, F.lit(FULL_LENGTH)) / BASE_LENGTH
+    return F.when(p.isNotNull(), F.least(F.greatest(F.floor(-F.log10(F.least(scaled, F.lit(1.0))) * STEPS), F.lit(0)), F.lit(STEPS * POWERS))).cast("int")
 
 
-def threshold(rest: DataFrame, alpha: float) -> int:
-    """The step from which on the distinct candidates in all texts aren't random.
+def threshold(found: DataFrame, alpha: float) -> int:
+    """The highest step that is claimed, from rows (h, length, step, p) of all candidates; -1 if none is.
 
-    Only the counts by step come to the driver: STEPS * POWERS + 1 rows at most.
+    The distinct candidates are counted by step and length, at most
+    (STEPS * POWERS + 1) * FULL_LENGTH rows, and only these come to the driver.
     """
-    text = F.col("rest")
-    tokens = rest.select(F.explode(F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))).alias("token"))
-    tested = tokens.where(encoding(F.rtrim(F.translate("token", "=", " "))).isNotNull()).distinct().select(F.least(F.length("token"), F.lit(FULL_WEIGHT)).alias("length"), p_random(F.col("token")).alias("p")).where("p IS NOT NULL")
-    # the mean is applied afterwards: it shifts all steps alike
-    rows = tested.select("length", _step(F.col("p"), F.col("length").cast("double")).alias("step")).groupBy("step").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()
-    total = sum(r["n"] for r in rows)
-    if not total:
-        return STEPS * POWERS + 1
-    mean = sum(r["length"] for r in rows) / total
-    limit, passed = STEPS * POWERS + 1, 0
-    for r in sorted(rows, key=lambda r: -r["step"]):
-        passed += r["n"]
-        if 10.0 ** (-r["step"] / STEPS) * mean <= alpha * passed / total:
-            limit = r["step"]
+    length = F.least("length", F.lit(FULL_LENGTH)).alias("length")
+    tested = found.where("step IS NOT NULL").select("h", "step", length, (F.col("p") >= HALF).alias("high")).distinct()
+    rows = tested.groupBy("step", "length").agg(F.count("*").alias("n"), F.count_if("high").alias("high")).collect()
+    by_length: dict[int, int] = {}
+    for r in rows:
+        by_length[r["length"]] = by_length.get(r["length"], 0) + r["high"]
+    counts: dict[int, int] = {}
+    for r in rows:
+        counts[r["step"]] = counts.get(r["step"], 0) + r["n"]
+    every, high = {r["length"] for r in rows}, sum(by_length.values())
+    allowance = 1 + (math.sqrt(high) + 1) / max(high, 1)  # a standard deviation and one more, so that few candidates aren't lost to chance
+    limit, claimed = -1, 0
+    for step in range(STEPS * POWERS):
+        claimed += counts.get(step, 0)
+        least = 10.0 ** (-(step + 1) / STEPS)
+        # random candidates of each length, times the share of them that the step claims
+        expected = sum(by_length[n] * allowance / (1 - HALF) * (1 - min(1.0, least / (n / BASE_LENGTH))) for n in every)
+        if claimed and claimed - expected <= alpha * claimed:
+            limit = step
     return limit
 
 
@@ -187,38 +216,49 @@ def _printed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"], s["end"])), ",")
 
 
+def _disjoint(chosen: Column, others: Column) -> Column:
+    """The spans of chosen that overlap none of the others."""
+    return F.filter(chosen, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per row: doc_id, n_assign, n_access, n_hex, base_spans, spans.
 
     A span is kind:start:end in code points, end exclusive; spans are in order
     of start, then kind, and joined by commas.  ``spans`` has the base spans and
-    those of kind ``random`` that overlap none of them.
+    those of kind ``random``, which lie outside of them: whole candidates, or
+    runs of letters and digits in candidates that aren't random as a whole.
 
     * Null and empty texts have no spans.
     * Repeated rows are scanned alike, and a candidate counts once however often
       the corpus has it.
-    * Tokens whose p-values tie share their fate.
+    * Words, dashes, numbers and paths have no encoding and are never claimed.
+    * Candidates whose p-values tie share their fate.
     * Extra columns are ignored; an empty table gives an empty result.
     """
     rows = _rest(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    limit = threshold(rows.select("rest"), alpha)
-    text = F.col("text")
+    text, rest = F.col("text"), F.col("rest")
+    bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+    def tested(s: Column) -> Column:
+        size = F.length(F.regexp_replace(s["value"], "=+$", ""))
+        return let(p_random(s["value"]), lambda p: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h"), size.alias("length"), p.alias("p"), _step(p, size).alias("step")))
+
+    def candidates(pattern: str) -> Column:
+        return F.when(rest.rlike(CANDIDATE), F.filter(F.transform(find(rest, pattern, "random"), tested), lambda s: s["step"].isNotNull()))
+
     found = rows.select(
         "doc_id",
-        find(text, ASSIGN, "assign", group=2, least=ASSIGN_LEAST).alias("assign"),
-        find(text, ACCESS, "access").alias("access"),
-        find(text, HEX, "hex").alias("hex"),
-        find(F.col("rest"), CANDIDATE, "random").alias("candidates"),
+        *(F.transform(find(text, p, k, **more), bare).alias(k) for k, p, more in (("assign", ASSIGN, {"group": 2, "least": ASSIGN_LEAST}), ("access", ACCESS, {}), ("hex", HEX, {}))),
+        candidates(CANDIDATE).alias("whole"),
+        candidates(INNER).alias("inner"),
     )
-    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    base = F.array_sort(F.concat(*(bare(F.col(c)) for c in ("assign", "access", "hex"))))
-    found = found.select("doc_id", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")), base.alias("base"), "candidates")
-
-    def random(s: Column) -> Column:
-        step = _step(p_random(s["value"]), F.least(F.length(s["value"]), F.lit(FULL_WEIGHT)).cast("double"))
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.coalesce(step < limit, F.lit(False)) & free
-
-    spans = F.array_sort(F.concat("base", bare(F.filter("candidates", random))))
-    out = found.withColumn("all", F.when(F.size("candidates") > 0, spans).otherwise(F.col("base")))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", _printed(F.col("base")).alias("base_spans"), _printed(F.col("all")).alias("spans"))
+    found = materialise(found)  # spans only: each text is read once
+    every = F.concat(*(F.coalesce(c, F.array().cast(found.schema["whole"].dataType)) for c in ("whole", "inner")))
+    limit = threshold(found.select(F.explode(every).alias("c")).select("c.h", "c.length", "c.p", "c.step"), alpha)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    claimed = lambda c: F.coalesce(F.transform(F.filter(c, lambda s: s["step"] <= limit), bare), none)
+    found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("whole", claimed("whole")).withColumn("inner", claimed("inner"))
+    spans = F.array_sort(F.concat("base", "whole", _disjoint(F.col("inner"), F.col("whole"))))
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, _printed(F.col("base")).alias("base_spans"), _printed(spans).alias("spans"))
