@@ -3,9 +3,13 @@
 For every block of a page's tree the characters for each tag are computed and
 adjusted for links; a block's density sum adds those of its children.  The block
 of largest sum is the seed of the article, and the least density on its path to
-the body is the threshold that other blocks must reach.  Parts that their tag,
-role or class names as navigation, advertising, comments and the like are cut
-before anything is measured.
+the body is the threshold that the other blocks beside the path must reach.
+Headings beside the path, and what lies in the seed's own article or main
+element, need only be free of links.
+
+What its tag, role or class names as navigation, advertising, comments and the
+like counts in the densities above it, but is no seed and is left out of the
+text.  All passes are linear in the size of the page.
 
 Each page is handled on its own, in Arrow batches; nothing is shuffled.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +32,9 @@ _RAW = frozenset("script style textarea title noscript template iframe xmp noemb
 _ENDS_P = _BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "summary"}
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 # Tags, roles and words of class or id that name what isn't the article.
-_CUT_TAGS = frozenset("nav footer aside form button select dialog menu svg canvas audio video object".split()) | _RAW
+_CUT_TAGS = frozenset("nav footer aside button select dialog menu svg canvas audio video object".split()) | _RAW
+_CONTROLS = frozenset("label legend option output datalist".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
@@ -35,7 +42,7 @@ _CUT_WORDS = frozenset(
 )
 _HEADS = frozenset({"header", "banner"})
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
@@ -50,9 +57,11 @@ class _Node:
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> int:
-    """2: cut for its tag, role or style; 1: cut for its names, unless it holds the article; 0: stays."""
+    """2: cut for its tag, role or style; 1: cut for its names or as a form, unless it holds the article; 0: stays."""
     if tag in _CUT_TAGS or tag == "header" and not in_article:
         return 2
+    if tag == "form":
+        return 1
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
     if not found or tag in ("html", "body"):
         return 0
@@ -68,12 +77,19 @@ def parse(page: str) -> _Node:
     """The tree of a page's blocks; inline elements are part of their block."""
     root = here = _Node("html", None, 0)
     stack: list[tuple[str, _Node]] = [("html", root)]  # open elements, with the block that each belongs to
-    links = at = 0
+    is_open: Counter[str] = Counter()
+    at = 0
+
+    def close_to(depth: int) -> None:
+        for t, _ in stack[depth:]:
+            is_open[t] -= 1
+        del stack[depth:]
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            here.children.append((html.unescape(text), links > 0))
+            here.children.append((html.unescape(text), is_open["a"] > 0))
         if not m:
             break
         at = m.end()
@@ -82,12 +98,11 @@ def parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if close:
-            if any(t == tag for t, _ in stack[1:]):
-                while True:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
+            if is_open[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close_to(depth)
                 here = stack[-1][1]
             continue
         if tag in _RAW:  # its content is no markup
@@ -97,35 +112,36 @@ def parse(page: str) -> _Node:
         if tag in ("html", "body"):
             continue
         if tag in _VOID:
-            if tag in ("br", "hr", "img"):
+            here.tags += 1
+            if tag == "hr":
+                here.children.append(_Node(tag, here, 0))
+            elif tag in ("br", "img"):
                 here.children.append((" ", False))
             continue
-        if tag in _ENDS_P and any(t == "p" for t, _ in stack):
+        if tag in _ENDS_P and is_open["p"] > 0:
             ends, stops = {"p"}, {"table", "button"}
         else:
             ends, stops = _ENDS.get(tag, ((), ()))
-        if ends:
+        if any(is_open[t] > 0 for t in ends):
             k = len(stack) - 1
             while k and stack[k][0] not in stops and stack[k][0] not in ends:
                 k -= 1
             if k and stack[k][0] in ends:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                if tag == "tr" and stack[-1][0] == "tr":
-                    stack.pop()
+                close_to(k - (tag == "tr" and stack[k - 1][0] == "tr"))
                 here = stack[-1][1]
-        if tag == "a":
-            here.link_tags += 1
-            links += 1
-        cut = _named(tag, attributes, any(t in ("article", "main") for t, _ in stack))
+        here.link_tags += tag == "a"
+        cut = _named(tag, attributes, is_open["article"] + is_open["main"] > 0) or 2 * (tag in _CONTROLS and is_open["form"] > 0)
         if tag in _BLOCKS or cut:
             node = _Node(tag, here, cut)
             here.children.append(node)
             here = node
+        else:
+            here.tags += 1
         if not attributes.endswith("/") or tag in _BLOCKS:
             stack.append((tag, here))
-        elif tag == "a":
-            links -= 1
+            is_open[tag] += 1
+        else:
+            here = stack[-1][1]
     return root
 
 
@@ -139,23 +155,8 @@ def _order(root: _Node) -> list[_Node]:
     return out
 
 
-def _prune(root: _Node) -> list[_Node]:
-    """Take out what is cut; a part cut for its names stays if it holds main, an h1 or an article that isn't cut itself."""
-    holds = set()
-    for node in _order(root):
-        if node.tag in ("main", "h1") or node.tag == "article" and not node.cut:
-            up, path = node.parent, []
-            while up is not None and up.cut < 2 and id(up) not in holds:
-                path.append(id(up))
-                up = up.parent
-            holds.update(path)
-    for node in _order(root):
-        node.children = [c for c in node.children if not (isinstance(c, _Node) and (c.cut == 2 or c.cut == 1 and id(c) not in holds))]
-    return _order(root)
-
-
-def densities(nodes: list[_Node]) -> None:
-    """Composite text density of every node: characters a tag, raised where links have a small share of both."""
+def measure(nodes: list[_Node]) -> None:
+    """Characters and tags of every node, its links' share of both, and its composite text density: characters a tag, raised where links have a small share."""
     for node in reversed(nodes):
         for c in node.children:
             if isinstance(c, _Node):
@@ -177,68 +178,90 @@ def densities(nodes: list[_Node]) -> None:
             node.density = node.chars / tags * max(0.0, math.log(max(ratio, 1.0)) / base)
 
 
+def _decide_cuts(nodes: list[_Node]) -> None:
+    """Undo the cut of a part that holds main, an h1 or an article that isn't cut itself, and of a form that holds most of the text that isn't cut otherwise."""
+    kept: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(c[0]) - c[0].count(" ") for c in node.children if not isinstance(c, _Node))
+        inner = own + sum(kept[id(c)] for c in node.children if isinstance(c, _Node))
+        kept[id(node)] = inner if not node.cut or node.tag == "form" else 0
+    holds = set()
+    for node in nodes:
+        if node.tag in ("main", "h1") or node.tag == "article" and not node.cut:
+            up = node.parent
+            while up is not None and up.cut < 2 and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    for node in nodes:
+        if node.cut == 1 and (id(node) in holds or node.tag == "form" and 2 * kept[id(node)] > kept[id(nodes[0])]):
+            node.cut = 0
+
+
 def _sum(node: _Node) -> float:
-    return sum(c.density for c in node.children if isinstance(c, _Node))
+    return sum(c.density for c in node.children if isinstance(c, _Node) and not c.cut)
 
 
-def article(nodes: list[_Node]) -> list[_Node]:
-    """The subtrees that hold the main text, in page order."""
-    densities(nodes)
-    seed = max(nodes, key=lambda n: (_sum(n), n.chars))
-    if not _sum(seed):
-        return nodes[:1]
+def article(root: _Node) -> None:
+    """Leave the main text only in the tree: the subtree of largest density sum, and beside its path to the body the blocks that reach the threshold."""
+    nodes = _order(root)
+    measure(nodes)
+    _decide_cuts(nodes)
+    seed, best = root, (0.0, 0)
+    todo = [root]
+    while todo:  # parents first; of equal sums the first block stays
+        node = todo.pop()
+        if (mine := (_sum(node), node.chars)) > best:
+            seed, best = node, mine
+        todo.extend(c for c in reversed(node.children) if isinstance(c, _Node) and not c.cut)
     path = [seed]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for node in path:  # a page that marks its article is taken at its word
-        if node.tag == "article":
-            return [node]
-    if main := next((n for n in path if n.tag == "main"), None):
-        return [main]
-    threshold = min(n.density for n in path)
-    chosen, todo = [], [nodes[0]]
-    while todo:
-        node = todo.pop()
-        if node.density < threshold:
-            continue
-        inside = _order(node)
-        best = max(inside, key=_sum)
-        if best is node or not _sum(node):
-            chosen.append(node)
-        else:
-            todo.extend(c for c in reversed(node.children) if isinstance(c, _Node))
-    return chosen or [seed]
+    threshold = min(node.density for node in path)
+    marked = max((k for k, node in enumerate(path) if node.tag in ("article", "main")), default=-1)
 
+    def stays(c: _Node | tuple[str, bool], inside: bool) -> bool:
+        if not isinstance(c, _Node):
+            return not c[0].strip() or not c[1] and (inside or len(c[0]) >= threshold)
+        return 2 * c.link_chars <= c.chars and (inside or c.tag in _HEADINGS or c.density >= threshold)
 
-def render(nodes: list[_Node]) -> str:
+    for k, node in enumerate(path[1:], 1):
+        node.children = [c for c in node.children if c is path[k - 1] or stays(c, k <= marked)]
+    for node in _order(root):
+        node.children = [c for c in node.children if not (isinstance(c, _Node) and c.cut)]
+
+
+def render(top: _Node) -> str:
     """Blocks in page order; white space within a block is one space."""
     blocks: list[str] = []
-    for top in nodes:
-        run: list[str] = []
-
-        def flush(run: list[str] = run) -> None:
-            if text := _SPACE.sub(" ", "".join(run)).strip():
-                blocks.append(text)
-            run.clear()
-
-        todo: list = [top]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                flush()
-            elif isinstance(x, _Node):
-                flush()
-                todo.append(None)
-                todo.extend(reversed(x.children))
-            else:
-                run.append(x[0])
-        flush()
+    run: list[str] = []
+
+    def flush() -> None:
+        if text := _SPACE.sub(" ", "".join(run)).strip():
+            blocks.append(text)
+        run.clear()
+
+    todo: list = [top]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            flush()
+        elif isinstance(x, _Node):
+            flush()
+            todo.append(None)
+            todo.extend(reversed(x.children))
+        else:
+            run.append(x[0])
+    flush()
     return "\n".join(blocks)
 
 
 def main_text(page: str | None) -> str:
     """The article's text; empty for null and for pages without text."""
-    return render(article(_prune(parse(page)))) if page else ""
+    if not page:
+        return ""
+    root = parse(page)
+    article(root)
+    return render(root)
 
 
 def extract(page: Column) -> Column:
