@@ -2,22 +2,25 @@
 
 Texts with the same shingles become one node, so copies cost nothing further.
 Two sets can only be similar if their prefixes share enough tokens under *every*
-global order of tokens; nodes that fail this under one order are gone before the next:
+global order of tokens.  That filters nodes first, then pairs:
 
 1. order 1 (by hash): a node stays if enough tokens of its prefix are found in
    another node's prefix; only these prefixes are shuffled.
 2. order 2 (by another hash): the same among those left.
 3. rarest first: the tokens that remain in order 1, by their number of nodes;
    similar nodes share one of their rarest tokens, their keys.
+4. A pair that shares a key must share enough prefix tokens under order 1 and
+   under order 2 as well; only pairs that pass all filters are verified on the
+   whole sets, which are made for the nodes that are left alone.
 
 Among the nodes of a key, a parity sketch of each set bounds the difference of
-two sets from below, so that pairs which can't be similar are seen without the
-sets.  First each node is held against a few leaders of its keys, and the links
-found are verified on the whole sets; that joins large groups of near copies in
-linear work.  Then the nodes of a key that aren't connected yet are held against
-each other, in blocks of bounded size: once for pairs that would connect what
-isn't, a forest, which is verified; and once more for all pairs between what is
-still not connected.  Pairs within a group that is connected are never made.
+two sets from below, so that most pairs that can't be similar are never made.
+First each node is held against a few leaders of its keys; that joins large
+groups of near copies in linear work.  Then the nodes of a key that aren't
+connected yet are held against each other, in blocks of bounded size: once for
+pairs that would connect what isn't, a forest; and once more for all pairs
+between what is still not connected.  Pairs within a group that is connected are
+never made.
 """
 
 from __future__ import annotations
@@ -79,23 +82,38 @@ def _ragged(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _digest(text: Column, size: int, percent: int) -> Column:
-    """n (shingles), a and b (128 bits of the set), p (prefix under order 1)."""
+    """n (shingles), a and b (128 bits of the set), p and q (prefixes under orders 1 and 2)."""
 
-    @F.arrow_udf("n int, a long, b long, p array<long>")
+    @F.arrow_udf("n int, a long, b long, p array<long>, q array<long>")
     def run(texts: pa.Array) -> pa.Array:
         sets = [tokens(t.as_py(), size) for t in texts]
         ab = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         return pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in sets], pa.int32()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), _ragged([s[: prefix_size(len(s), percent)] for s in sets])], names=["n", "a", "b", "p"]
+            [pa.array([len(s) for s in sets], pa.int32()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), _ragged([s[: prefix_size(len(s), percent)] for s in sets]), _ragged([_prefix2(s, percent) for s in sets])],
+            names=["n", "a", "b", "p", "q"],
         )
 
     return run(text)
 
 
+def _whole(text: Column, size: int) -> Column:
+    """s (the set) and k (its sketch)."""
+
+    @F.arrow_udf("s array<long>, k binary")
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [tokens(t.as_py(), size) for t in texts]
+        return pa.StructArray.from_arrays([_ragged(sets), pa.array(map(sketch, sets), pa.binary())], names=["s", "k"])
+
+    return run(text)
+
+
+def _shared(n: Column, percent: int) -> Column:
+    need = F.floor((percent * n + 99) / 100)
+    return (1 + F.floor((n - need) / 2)).cast("int")
+
+
 def _sure(n: Column, percent: int) -> Column:
-    up = lambda x: F.floor((percent * x + 99) / 100)
-    need = up(n)
-    return (1 + F.floor((need - up(need)) / 2)).cast("int")
+    return _shared(F.floor((percent * n + 99) / 100), percent)
 
 
 def _common(nodes: DataFrame, percent: int) -> DataFrame:
@@ -194,6 +212,14 @@ def _candidates(rows: DataFrame, percent: int, step: str) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _agree(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough tokens under order 1 and under order 2; prefixes has node, n, p, q."""
+    one = lambda x: prefixes.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "p", "q")))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    least = _shared(F.least("na", "nb"), percent)
+    return both.where((F.size(F.array_intersect("pa", "pb")) >= least) & (F.size(F.array_intersect("qa", "qb")) >= least)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     left, right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
@@ -201,13 +227,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(keys: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all similar nodes; keys has node, n, keys."""
+    links_of = lambda pairs: materialise(_verified(materialise(_agree(pairs, prefixes, percent)), sets, percent))
     own = keys.join(sets.select("node", "k"), "node").select("node", "n", "k", F.explode("keys").alias("t"))
     counts = materialise(keys.select(F.explode("keys").alias("t")).groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c"))
     own = own.join(counts, "t").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     near = materialise(_candidates(own.select("t", F.col("block").alias("i"), F.lit(0).alias("j"), "block", F.lit(0).cast("long").alias("label"), "node", "n", "k"), percent, "leaders"))
-    first = materialise(_verified(near, sets, percent))
+    first = links_of(near)
 
     tested, links = near, first
     for step in ("forest", "all"):
@@ -217,7 +244,7 @@ def _links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rest = labelled.join(mixed, "t", "left_semi").select("t", "block", "label", "node", "n", "k", other)
         rest = rest.select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "node", "n", "k")
         found = materialise(_candidates(rest, percent, step).join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.unionByName(found), links.unionByName(materialise(_verified(found, sets, percent)))
+        tested, links = tested.unionByName(found), links.unionByName(links_of(found))
     return links
 
 
@@ -233,26 +260,22 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     * Repeated rows and rows that repeat an id are rows of their own; they link by their texts alone.
     * Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    digests = materialise(rows.select("doc_id", _digest(F.col("text"), words, percent).alias("d")).select("doc_id", "d.*"))
-    nodes = digests.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.any_value("p").alias("p"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
-    first = materialise(_common(nodes, percent).select("node", "n"))
-    # whole sets of the nodes that are left, from their texts
-    wanted = nodes.join(first.select("node"), "node").select("node", "n", "a", "b", F.col("rep").alias("doc_id"))
-
-    @F.arrow_udf("a long, b long, s array<long>, q array<long>, k binary")
-    def whole(texts: pa.Array) -> pa.Array:
-        sets = [tokens(t.as_py(), words) for t in texts]
-        ab = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), _ragged(sets), _ragged([_prefix2(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())], names=["a", "b", "s", "q", "k"])
-
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "n", "a", "b", "text")
-    sets = texts.withColumn("w", whole(F.col("text"))).where("w.a = a AND w.b = b").select("node", "n", "w.s", "w.q", "w.k")
-    sets = materialise(sets.dropDuplicates(["node"]))
-    second = materialise(_common(sets.select("node", "n", F.col("q").alias("p")), percent).select("node"))
-    third = materialise(_common(nodes.join(second, "node", "left_semi").select("node", "n", "p"), percent))
-    linked = connected(_links(third, sets, percent))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("i"), text.alias("text"))
+    digests = materialise(rows.select("doc_id", "h", "i", _digest(F.col("text"), words, percent).alias("d")).select("doc_id", "h", "i", "d.*"))
+    source = F.any_value(F.struct("doc_id", "h", "i")).alias("source")
+    nodes = digests.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), source, F.any_value(F.struct("p", "q")).alias("pq"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "rep", "source", "pq.p", "pq.q"))
+    first = materialise(_common(nodes, percent).select("node"))
+    second = materialise(_common(nodes.join(first, "node", "left_semi").select("node", "n", F.col("q").alias("p")), percent).select("node"))
+    keys = materialise(_common(nodes.join(second, "node", "left_semi"), percent))
+    left = nodes.join(keys.select("node"), "node", "left_semi")
+    prefixes = materialise(left.select("node", "n", "p", "q"))
+    # whole sets of the nodes that are left, from the text of one row each: found by id and text, so rows without id don't meet each other
+    wanted = left.select("node", F.col("source.doc_id").alias("w"), F.col("source.h").alias("h"), F.col("source.i").alias("i"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w"]) & (rows["h"] == wanted["h"]) & (rows["i"] == wanted["i"])).select("node", _whole(F.col("text"), words).alias("x"))
+    sets = materialise(texts.select("node", "x.s", "x.k").dropDuplicates(["node"]))
+    linked = connected(_links(keys, prefixes, sets, percent))
     named = nodes.select("node", "a", "b", "n", "rep").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(names, "label").select("a", "b", "n", "component_id"))
