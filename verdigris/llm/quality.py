@@ -1,11 +1,19 @@
 """Quality rules with an n-gram perplexity model.
 
-Base rules look at one text at a time.  The method's verdict comes from a
-modified Kneser-Ney model of characters, one for each language, counted by Spark
-over all documents: the text's log perplexity must lie within its language's
-band.  Characters fall into 64 classes and the model has order 4, so a language
-has at most 64^4 n-grams however large the corpus is; that bounds the sorted
-arrays which the executors get.
+Base rules look at one text at a time.  The method's verdict comes from modified
+Kneser-Ney models of characters, counted by Spark over all documents: the text's
+log perplexity must lie within its language's band.  Characters are code points,
+lower-cased, with one kind of digit and of space; nothing else is folded, so
+texts of any script count, and the model grows with what the corpus has.
+
+Each language has two models.  A text belongs to one of two folds by its hash and
+is scored by the model of the other fold, so neither it nor a copy of it vouches
+for itself; together the models count every text.
+
+The models are kept as sorted arrays of n-gram hashes, cut by the character
+before the predicted one into shards: all that predicts a character lies in one
+shard, so a text's sum is the sum over shards.  Executors get at most
+``MODEL_BYTES`` of shards at once; more of them are scored in further passes.
 """
 
 from __future__ import annotations
@@ -14,188 +22,276 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER, BITS = 4, 6
-CLASSES = 1 << BITS
-#: Bytes of model that executors get at once; further languages are scored in further passes.
-MODEL_BYTES = 128 << 20
-#: Width of a band: so many times the distance of the lower and the upper quartile from the median.
-LOW_WIDTH, HIGH_WIDTH = 12.0, 10.0
+from verdigris.llm.shingles import mix
+
+ORDER = 5
+#: Shards of a model, and bytes of shards that executors get at once.
+SHARDS, MODEL_BYTES = 32, 128 << 20
+#: Share of a character that the corpus lacks.
+UNSEEN = 1.0 / (1 << 16)
+#: Discounts are no less, so that what a context lacks always keeps a share.
+LEAST_DISCOUNT = 0.01
+#: Width of a band below and above the median: so many times the distance of the nearer quartile, as junk widens one side only.
+LOW_WIDTH, HIGH_WIDTH = 10.0, 7.0
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 NO_LANG = "und"
+#: Characters that a task counts at once, and n-grams that it holds.
+CHUNK, HELD = 2_000_000, 2_000_000
+_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(ORDER)], np.uint64)
+_PAD = np.full(ORDER - 1, 10, np.uint32)
+_LETTERS: list[np.ndarray] = []
+
+
+def codes(text: str) -> np.ndarray:
+    """The text's lower-cased code points; every digit is 0, white space but line ends a space."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4").copy()
+    c[(c >= 48) & (c <= 57)] = 48
+    c[(c == 9) | (c == 11) | (c == 12) | (c == 13) | (c == 160)] = 32
+    return c
+
+
+def letters(c: np.ndarray) -> int:
+    """How many of the code points are letters."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(k).isalpha() for k in range(0x32000)), bool, 0x32000))
+    return int(_LETTERS[0][np.minimum(c, 0x31FFF)].sum())
+
+
+def keys(padded: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams that end at each character, for n of 1 to ORDER; the padding before the text comes first."""
+    n = len(padded) - ORDER + 1
+    wide, out = padded.astype(np.uint64), []
+    total = np.zeros(n, np.uint64)
+    for k in range(1, ORDER + 1):
+        total = total + wide[ORDER - k : ORDER - k + n] * _WEIGHTS[k - 1]
+        out.append(mix(total * np.uint64(2) + np.uint64(k)))
+    return out
 
 
-def _class_table() -> np.ndarray:
-    """Class of each code point below 65536: line end 0, space 1, letters a-z 2-27, digits 28, marks 29-41, other letters 42-62 by code point, all else 63."""
-    table = np.full(1 << 16, CLASSES - 1, dtype=np.uint8)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isalpha():
-            table[cp] = 42 + cp % 21
-        elif c.isdigit():
-            table[cp] = 28
-        elif c.isspace():
-            table[cp] = 1
-    table[10] = 0
-    for k, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        table[ord(c)] = 2 + k
-    for k, marks in enumerate([".", ",", ";:", "!?", "'\"", "-", "()[]{}", "/\\", "|", "#", "*", "$%&<>", "_@=+~^"]):
-        for c in marks:
-            table[ord(c)] = 29 + k
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def grams(text: str) -> np.ndarray:
-    """The text's character n-grams as numbers, one for each character; what comes before the text counts as line ends."""
-    if not _TABLE:
-        _TABLE.append(_class_table())
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    codes = np.zeros(len(cps) + ORDER - 1, dtype=np.int32)
-    codes[ORDER - 1 :] = _TABLE[0][np.minimum(cps, (1 << 16) - 1)]
-    out = np.zeros(len(cps), dtype=np.int32)
-    for k in range(ORDER):
-        out = (out << BITS) | codes[k : k + len(cps)]
-    return out
+def _of_strings(grams: list[str], n: int) -> np.ndarray:
+    """The hashes of n-grams of one length."""
+    c = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), dtype="<u4").reshape(-1, n).astype(np.uint64)
+    return mix((c * _WEIGHTS[:n][::-1]).sum(axis=1, dtype=np.uint64) * np.uint64(2) + np.uint64(n))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, g, c: how often each n-gram is found in all texts of a language.
+    """lang, fold, g, c: how often each n-gram is found in all texts of a language and fold.
 
-    A task sums its batches' counts before Spark sums the tasks'.
+    A task sums what its batches have before Spark sums the tasks'.
     """
+    schema = pa.schema([("lang", pa.string()), ("fold", pa.int32()), ("g", pa.string()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(lang: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "g", "c"])
-
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        waiting: dict[tuple, list[np.ndarray]] = {}
+
+        def count(model: tuple) -> None:
+            parts = waiting.pop(model)
+            padded = np.concatenate([_PAD, *(x for c in parts for x in (c, _PAD))])
+            real = np.concatenate([np.r_[np.ones(len(c), bool), np.zeros(ORDER - 1, bool)] for c in parts])
+            h, at, c = np.unique(keys(padded)[-1][real], return_index=True, return_counts=True)
+            whole, at = padded.astype("<u4").tobytes().decode("utf-32-le"), np.flatnonzero(real)[at]
+            grams = np.array([whole[i : i + ORDER] for i in at.tolist()], dtype=object)
+            if model in sums:
+                h, first, place = np.unique(np.r_[sums[model][0], h], return_index=True, return_inverse=True)
+                c = np.bincount(place, weights=np.r_[sums[model][2], c]).astype(np.int64)
+                grams = np.r_[sums[model][1], grams][first]
+            sums[model] = (h, grams, c)
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (lang, fold), (_, grams, c) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([fold] * len(c), pa.int32()), pa.array(grams, pa.string()), pa.array(c, pa.int64())], schema=schema)
+            sums.clear()
+
+        size: dict[tuple, int] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                found: dict[str, list[np.ndarray]] = {}
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found.setdefault(lang, []).append(grams(text))
-                for lang, all_grams in found.items():
-                    keys, counts = np.unique(np.concatenate(all_grams), return_counts=True)
-                    if lang in sums:
-                        keys, at = np.unique(np.r_[sums[lang][0], keys], return_inverse=True)
-                        counts = np.bincount(at, weights=np.r_[sums[lang][1], counts]).astype(np.int64)
-                    sums[lang] = (keys, counts)
-            if sum(len(k) for k, _ in sums.values()) > 4_000_000:
-                for lang, (keys, counts) in sums.items():
-                    yield table(lang, keys, counts)
-                sums = {}
-        for lang, (keys, counts) in sums.items():
-            yield table(lang, keys, counts)
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, g int, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-
-
-def estimate(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney from 4-gram counts: lang, key (order and n-gram in one number), logp, logb (weight of the order above its context)."""
+            for lang, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                model, c = (lang, fold), codes(text.as_py())
+                waiting.setdefault(model, []).append(c)
+                size[model] = size.get(model, 0) + len(c)
+                if size[model] >= CHUNK:
+                    count(model)
+                    size[model] = 0
+            if sum(len(x[0]) for x in sums.values()) > HELD:
+                yield from emit()
+        for model in list(waiting):
+            count(model)
+        yield from emit()
+
+    return docs.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, g string, c long").groupBy("lang", "fold", "g").agg(F.sum("c").alias("c"))
+
+
+def estimate(counts: DataFrame, materialise) -> DataFrame:
+    """Modified Kneser-Ney from counts of the longest n-grams: lang, fold, g (of 1 to ORDER characters), logp, logb (weight of the order above its context; 0 if it is none)."""
+    model = ["lang", "fold"]
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters that go before
-        orders[n] = orders[n + 1].groupBy("lang", (F.col("g") % (1 << BITS * n)).cast("int").alias("g")).agg(F.count("*").alias("c"))
+        orders[n] = materialise(orders[n + 1].groupBy(*model, F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c")))
     lower, out = None, None
     weights: dict[int, DataFrame] = {}
     for n in range(1, ORDER + 1):
         t = orders[n]
         n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
         ratio = F.coalesce(F.try_divide(n1, n1 + 2 * n2), F.lit(0.0))
-        discount = lambda k, a, b: F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * ratio * F.try_divide(b, a), F.lit(k / 2))))
-        by_lang = t.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        by_lang = by_lang.select("lang", discount(1, n1, n2).alias("d1"), discount(2, n2, n3).alias("d2"), discount(3, n3, n4).alias("d3"))
+        discount = lambda k, a, b: F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * ratio * F.try_divide(b, a), F.lit(k / 2))))
+        by_model = t.groupBy(*model).agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        by_model = by_model.select(*model, discount(1, n1, n2).alias("d1"), discount(2, n2, n3).alias("d2"), discount(3, n3, n4).alias("d3"))
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = Window.partitionBy("lang", (F.col("g") / CLASSES).cast("int") if n > 1 else F.lit(0))
-        t = t.join(F.broadcast(by_lang), "lang").select("lang", "g", F.col("c"), d.alias("d"))  # a row for each language
+        t = t.join(F.broadcast(by_model), model).select(*model, "g", "c", d.alias("d"), F.substring("g", 1, n - 1).alias("ctx"))  # two rows for each language
+        context = Window.partitionBy(*model, "ctx")  # as many rows as there are characters at most
         total = F.sum("c").over(context)
-        t = t.select("lang", "g", ((F.col("c") - F.col("d")) / total).alias("alpha"), (F.sum("d").over(context) / total).alias("gamma"), (F.col("g") / CLASSES).cast("int").alias("ctx"), (F.col("g") % (1 << BITS * (n - 1))).cast("int").alias("tail"))
+        t = t.select(*model, "g", "ctx", ((F.col("c") - F.col("d")) / total).alias("alpha"), (F.sum("d").over(context) / total).alias("gamma"))
         if n > 1:
-            weights[n - 1] = t.groupBy("lang", "ctx").agg(F.first("gamma").alias("b"))
-            below = lower.select("lang", F.col("g").alias("tail"), F.col("p").alias("q"))
-            t = t.join(below, ["lang", "tail"]).select("lang", "g", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p"))
+            below = lower.select(*model, F.col("g").alias("tail"), F.col("p").alias("q"))
+            t = t.withColumn("tail", F.substring("g", 2, n - 1)).join(below, [*model, "tail"]).select(*model, "g", "ctx", "gamma", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p"))
         else:
-            t = t.select("lang", "g", (F.col("alpha") + F.col("gamma") / CLASSES).alias("p"))
-        orders[n] = lower = t
+            t = t.select(*model, "g", "ctx", "gamma", (F.col("alpha") + F.col("gamma") * UNSEEN).alias("p"))
+        lower = materialise(t)
+        if n > 1:
+            weights[n - 1] = lower.groupBy(*model, F.col("ctx").alias("g")).agg(F.first("gamma").alias("b"))
+        orders[n] = lower
     for n in range(1, ORDER + 1):
-        rows = orders[n].select("lang", "g", F.log("p").alias("logp"))
-        if n < ORDER:
-            rows = rows.join(weights[n].withColumnRenamed("ctx", "g"), ["lang", "g"], "left").withColumn("logb", F.coalesce(F.log("b"), F.lit(0.0))).drop("b")
+        rows = orders[n].select(*model, "g", F.log("p").alias("logp"))
+        if n < ORDER:  # a context may end no other n-gram of its length
+            rows = rows.join(weights[n], [*model, "g"], "full").withColumn("logb", F.coalesce(F.log("b"), F.lit(0.0))).drop("b")
         else:
             rows = rows.withColumn("logb", F.lit(0.0))
-        rows = rows.select("lang", (F.col("g") + F.lit(n << BITS * ORDER)).cast("int").alias("key"), F.col("logp").cast("float"), F.col("logb").cast("float"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-class Model:
-    """Sorted arrays of one language's n-grams."""
-
-    def __init__(self, keys: np.ndarray, logp: np.ndarray, logb: np.ndarray):
-        at = np.argsort(keys)
-        self.keys, self.logp, self.logb = keys[at], logp[at], logb[at]
-
-    def _find(self, order: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = g + (order << BITS * ORDER)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return at, self.keys[at] == key
-
-    def log_perplexity(self, text: str) -> float | None:
-        """Nats a letter, null without one; n-grams that the model lacks are backed off.
-
-        All characters are predicted but only letters share the sum: marks in
-        odd places, each cheap in a long run of them, then weigh on the words.
-        """
-        g, count = np.unique(grams(text), return_counts=True)
-        last = g % CLASSES
-        letters = int(count[(last >= 2) & (last < 28) | (last >= 42) & (last < CLASSES - 1)].sum())
-        if not letters:
-            return None
-        out, weight, left = np.zeros(len(g)), np.zeros(len(g)), np.arange(len(g))
-        for order in range(ORDER, 0, -1):
-            tail = g[left] % (1 << BITS * order)
-            at, hit = self._find(order, tail)
+def packed(model: DataFrame) -> DataFrame:
+    """lang, fold, shard, n (entries), and the shard's arrays: keys and logp of n-grams, bkeys and logb of contexts, each sorted by key.
+
+    An n-gram lies in the shard of its last character but one, a context in that of its last; single characters lie in all.
+    """
+    cut = lambda at: F.pmod(F.ascii(F.substring("g", at, 1)), F.lit(SHARDS))
+    size = F.length("g")
+    probabilities = model.where(F.col("logp").isNotNull()).select("lang", "fold", "g", F.col("logp").alias("x"), F.lit(True).alias("is_p"), F.explode(F.when(size == 1, F.sequence(F.lit(0), F.lit(SHARDS - 1))).otherwise(F.array(cut(-2)))).alias("shard"))
+    contexts = model.where((size < ORDER) & (F.col("logb") != 0)).select("lang", "fold", "g", F.col("logb").alias("x"), F.lit(False).alias("is_p"), cut(-1).alias("shard"))
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = []
+        for wanted in (True, False):
+            part = table.filter(table["is_p"] if wanted else pc.invert(table["is_p"]))
+            grams, values = part["g"].to_pylist(), part["x"].to_numpy().astype(np.float32)
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            h = np.zeros(len(grams), np.uint64)
+            for n in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == n)
+                h[mine] = _of_strings([grams[i] for i in mine.tolist()], n)
+            order = np.argsort(h)
+            columns += [h[order].tobytes(), values[order].tobytes()]
+        first = table.slice(0, 1)
+        return pa.table([first["lang"], first["fold"], first["shard"], pa.array([table.num_rows], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["lang", "fold", "shard", "n", "keys", "logp", "bkeys", "logb"])
+
+    return probabilities.unionByName(contexts).groupBy("lang", "fold", "shard").applyInArrow(run, "lang string, fold int, shard int, n long, keys binary, logp binary, bkeys binary, logb binary")
+
+
+class Shard:
+    """A shard's sorted arrays."""
+
+    def __init__(self, keys: bytes, logp: bytes, bkeys: bytes, logb: bytes):
+        self.keys, self.logp = np.frombuffer(keys, np.uint64), np.frombuffer(logp, np.float32)
+        self.bkeys, self.logb = np.frombuffer(bkeys, np.uint64), np.frombuffer(logb, np.float32)
+
+    def log_p(self, h: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of n-grams from their hashes by order and their contexts'; what the model lacks is backed off."""
+        count = len(h[0])
+        out, weight, left = np.zeros(count), np.zeros(count), np.arange(count)
+        for n in range(ORDER, 0, -1):
+            at, hit = _find(self.keys, h[n - 1][left])
             out[left[hit]] = weight[left[hit]] + self.logp[at[hit]]
-            left, tail = left[~hit], tail[~hit]
-            if order > 1 and len(left):
-                at, hit = self._find(order - 1, tail >> BITS)
+            left = left[~hit]
+            if n > 1 and len(left):
+                at, hit = _find(self.bkeys, contexts[n - 2][left])
                 weight[left[hit]] += self.logb[at[hit]]
-        out[left] = weight[left] - np.log(CLASSES)
-        return float(-(out * count).sum() / letters)
+        out[left] = weight[left] + np.log(UNSEEN)
+        return out
 
 
-def _score(models: dict[str, Model], lang: Column, text: Column) -> Column:
-    @F.arrow_udf("double")
-    def run(langs: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([models[k].log_perplexity(t) if k in models else None for k, t in zip(langs.to_pylist(), texts.to_pylist(), strict=True)], pa.float64())
+def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
-    return run(lang, text)
 
+def loss(shards: dict[int, Shard] | None, text: str) -> tuple[float | None, int]:
+    """Nats of the text's characters that the shards predict (null without any), and its letters.
 
-def log_perplexity(docs: DataFrame, model: DataFrame) -> list[DataFrame]:
-    """docs with log_ppl, in one frame for each group of languages whose model fits MODEL_BYTES."""
-    sizes = {r["lang"]: 12 * r["count"] for r in model.groupBy("lang").count().collect()}  # a row for each language
-    groups: list[list[str]] = [[]]
-    for lang in sorted(sizes):
-        if groups[-1] and sum(sizes[x] for x in groups[-1]) + sizes[lang] > MODEL_BYTES:
-            groups.append([])
-        groups[-1].append(lang)
-    out = []
-    for group in groups:
-        part = model.where(F.col("lang").isin(group)).toArrow()
-        langs = np.array(part["lang"].to_pylist(), dtype=object)
-        arrays = [part[c].to_numpy() for c in ("key", "logp", "logb")]
-        models = {k: Model(*(a[langs == k] for a in arrays)) for k in group}
-        here = docs if len(groups) == 1 else docs.where(F.col("lang").isin(group))
-        out.append(here.withColumn("log_ppl", _score(models, F.col("lang"), F.col("text"))))
+    All characters are predicted but only letters share the sum: marks in odd
+    places, each cheap in a long run of them, then weigh on the words.
+    """
+    c = codes(text)
+    n = letters(c)
+    if not n or not shards:
+        return None, n
+    padded = np.concatenate([_PAD, c])
+    h = keys(padded)
+    _, first, count = np.unique(h[-1], return_index=True, return_counts=True)
+    before = padded[ORDER - 2 + first]  # the character before the predicted one
+    pad_h = keys(np.concatenate([_PAD[:1], padded])[: len(padded)])  # what ends before each character
+    total = 0.0
+    shard_of = before % SHARDS
+    for k in np.unique(shard_of).tolist():
+        if k in shards:
+            mine = first[shard_of == k]
+            total -= float((shards[k].log_p([x[mine] for x in h], [x[mine] for x in pad_h]) * count[shard_of == k]).sum())
+    return total, n
+
+
+def _score(models: dict[tuple, dict[int, Shard]], lang: Column, fold: Column, text: Column) -> Column:
+    @F.arrow_udf("loss double, letters long")
+    def run(langs: pa.Array, folds: pa.Array, texts: pa.Array) -> pa.Array:
+        got = [loss(models.get((k, 1 - f)), t.as_py()) for k, f, t in zip(langs.to_pylist(), folds.to_pylist(), texts, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], names=["loss", "letters"])
+
+    return run(lang, fold, text)
+
+
+def passes(arrays: DataFrame) -> list[list[tuple]]:
+    """The shards (lang, fold, shard) of each pass; only their names and sizes come to the driver."""
+    rows = arrays.select("lang", "fold", "shard", (12 * F.col("n")).alias("size")).collect()  # SHARDS rows for each model
+    out, held = [[]], 0
+    for r in sorted(rows):
+        if out[-1] and held + r["size"] > MODEL_BYTES:
+            out, held = [*out, []], 0
+        out[-1].append(tuple(r)[:3])
+        held += r["size"]
     return out
 
 
+def log_perplexity(docs: DataFrame, arrays: DataFrame, more: list[Column], materialise) -> DataFrame:
+    """docs (lang, fold, text and others) without text, with ``more`` columns, letters and log_ppl (nats a letter; null without a letter or a model).
+
+    With several passes, the sums of each distinct text are added up and joined back by its hash.
+    """
+    columns = [c for c in docs.columns if c != "text"]
+    ppl = F.when(F.col("letters") > 0, F.col("loss") / F.col("letters")).alias("log_ppl")
+    groups, parts = passes(arrays), []
+    ident = [F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("i")]
+    for group in groups:
+        wanted = docs.sparkSession.createDataFrame(group, "lang string, fold int, shard int") if group else None
+        got = arrays.join(F.broadcast(wanted), ["lang", "fold", "shard"], "left_semi").toArrow() if group else None
+        models: dict[tuple, dict[int, Shard]] = {}
+        for k in range(got.num_rows if got else 0):
+            models.setdefault((got["lang"][k].as_py(), got["fold"][k].as_py()), {})[got["shard"][k].as_py()] = Shard(*(got[c][k].as_buffer() for c in ("keys", "logp", "bkeys", "logb")))
+        scored = _score(models, F.col("lang"), F.col("fold"), F.col("text")).alias("x")
+        if len(groups) == 1:
+            return docs.select(*columns, *more, scored).select("*", "x.*").withColumn("log_ppl", ppl).drop("x", "loss")
+        parts.append(materialise(docs.select("lang", *ident, scored).select("lang", "h", "i", "x.*").dropDuplicates(["lang", "h", "i"])))
+    sums = parts[0]
+    for part in parts[1:]:
+        sums = sums.unionByName(part)
+    sums = materialise(sums.groupBy("lang", "h", "i").agg(F.sum("loss").alias("loss"), F.max("letters").alias("letters")).select("lang", "h", "i", "letters", ppl))
+    return materialise(docs.select(*columns, *more, *ident)).join(sums, ["lang", "h", "i"]).drop("h", "i")
+
+
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words in windows of width words that are found twice or more in the text; all occurrences count."""
     n = len(words) - width + 1
@@ -247,7 +343,8 @@ def bands(scored: DataFrame, low: float = LOW_WIDTH, high: float = HIGH_WIDTH) -
     q = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000)
     out = scored.groupBy("lang").agg(q.alias("q"))
     at = lambda i: F.get("q", F.lit(i))
-    return out.select("lang", (at(1) - low * (at(1) - at(0))).alias("ppl_low"), (at(1) + high * (at(2) - at(1))).alias("ppl_high"))
+    spread = F.least(at(1) - at(0), at(2) - at(1))
+    return out.select("lang", (at(1) - low * spread).alias("ppl_low"), (at(1) + high * spread).alias("ppl_high"))
 
 
 def assess(docs: DataFrame, *, materialise, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -256,20 +353,18 @@ def assess(docs: DataFrame, *, materialise, id_col: str = "doc_id", text_col: st
     ``materialise`` writes an intermediate frame and reads it again.
 
     * A null text is empty: no words, base_failed, not kept, log_ppl null.
-    * A null language is a language of its own.
+    * A text without a letter is not kept.
+    * A null language is a language of its own.  A language all of whose texts are in one fold has no model for them: log_ppl is null, and the base rules decide.
     * A text on the edge of its band is kept.
     * Repeated rows are counted and assessed one by one; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
-    model = materialise(estimate(materialise(count_grams(rows))))
-    parts = log_perplexity(rows, model)
-    scored = None
-    for part in parts:
-        part = part.select("doc_id", "lang", "log_ppl", base(F.col("text")).alias("b")).select("doc_id", "lang", "log_ppl", "b.*")
-        scored = part if scored is None else scored.unionByName(part)
-    scored = materialise(scored)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(2)).cast("int"))
+    arrays = materialise(packed(estimate(materialise(count_grams(rows)), materialise)))
+    scored = log_perplexity(rows, arrays, [base(F.col("text")).alias("b")], materialise)
+    scored = materialise(scored.select("doc_id", "lang", "letters", "log_ppl", "b.*"))
     out = scored.join(F.broadcast(bands(scored)), "lang", "left")  # a row for each language
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    fits = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(False))
+    fits = (F.col("letters") > 0) & F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True))
     return out.select("doc_id", *_BASE, "base_failed", "log_ppl", "ppl_low", "ppl_high", (~F.col("base_failed") & fits).alias("kept"))
