@@ -40,7 +40,7 @@ LOW_WIDTH, HIGH_WIDTH = 10.0, 7.0
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 NO_LANG = "und"
 #: Characters that a task counts at once, and n-grams that it holds.
-CHUNK, HELD = 2_000_000, 2_000_000
+CHUNK, HELD = 1_000_000, 2_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(ORDER)], np.uint64)
 _PAD = np.full(ORDER - 1, 10, np.uint32)
 _LETTERS: list[np.ndarray] = []
@@ -61,21 +61,42 @@ def letters(c: np.ndarray) -> int:
     return int(_LETTERS[0][np.minimum(c, 0x31FFF)].sum())
 
 
-def keys(padded: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each character, for n of 1 to ORDER; the padding before the text comes first."""
-    n = len(padded) - ORDER + 1
-    wide, out = padded.astype(np.uint64), []
+def _hash(total: np.ndarray, n: int) -> np.ndarray:
+    return mix(total * np.uint64(2) + np.uint64(n))
+
+
+def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other with padding before each, and the places of their characters."""
+    flat = np.concatenate([x for c in parts for x in (_PAD, c)])
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    at = np.arange(sizes.sum()) + (ORDER - 1) * np.repeat(np.arange(1, len(parts) + 1), sizes)
+    return flat.astype(np.uint64), at
+
+
+def longest(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of ORDER characters that end at the places."""
+    n = len(flat) - ORDER + 1
     total = np.zeros(n, np.uint64)
-    for k in range(1, ORDER + 1):
-        total = total + wide[ORDER - k : ORDER - k + n] * _WEIGHTS[k - 1]
-        out.append(mix(total * np.uint64(2) + np.uint64(k)))
+    for k in range(ORDER):
+        total += flat[ORDER - 1 - k : ORDER - 1 - k + n] * _WEIGHTS[k]
+    return _hash(total[at - ORDER + 1], ORDER)
+
+
+def hashes_at(flat: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the n-grams that end at the places, for n of 1 to ORDER, and of those that end before them, up to one less."""
+    out: tuple[list, list] = ([], [])
+    for shift, hashes in enumerate(out):
+        total = np.zeros(len(at), np.uint64)
+        for k in range(ORDER - shift):
+            total = total + flat[at - shift - k] * _WEIGHTS[k]
+            hashes.append(_hash(total, k + 1))
     return out
 
 
 def _of_strings(grams: list[str], n: int) -> np.ndarray:
     """The hashes of n-grams of one length."""
     c = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), dtype="<u4").reshape(-1, n).astype(np.uint64)
-    return mix((c * _WEIGHTS[:n][::-1]).sum(axis=1, dtype=np.uint64) * np.uint64(2) + np.uint64(n))
+    return _hash((c * _WEIGHTS[:n][::-1]).sum(axis=1, dtype=np.uint64), n)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -90,17 +111,25 @@ def count_grams(docs: DataFrame) -> DataFrame:
         waiting: dict[tuple, list[np.ndarray]] = {}
 
         def count(model: tuple) -> None:
-            parts = waiting.pop(model)
-            padded = np.concatenate([_PAD, *(x for c in parts for x in (c, _PAD))])
-            real = np.concatenate([np.r_[np.ones(len(c), bool), np.zeros(ORDER - 1, bool)] for c in parts])
-            h, at, c = np.unique(keys(padded)[-1][real], return_index=True, return_counts=True)
-            whole, at = padded.astype("<u4").tobytes().decode("utf-32-le"), np.flatnonzero(real)[at]
-            grams = np.array([whole[i : i + ORDER] for i in at.tolist()], dtype=object)
-            if model in sums:
-                h, first, place = np.unique(np.r_[sums[model][0], h], return_index=True, return_inverse=True)
-                c = np.bincount(place, weights=np.r_[sums[model][2], c]).astype(np.int64)
-                grams = np.r_[sums[model][1], grams][first]
-            sums[model] = (h, grams, c)
+            flat, at = padded(waiting.pop(model))
+            mine = longest(flat, at)
+            h, c = np.unique(mine, return_counts=True)
+            known, grams, old = sums.get(model, (np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.int64)))
+            place, hit = _find(known, h)
+            old = old.copy()
+            old[place[hit]] += c[hit]
+            fresh, new_counts = h[~hit], c[~hit]
+            if len(fresh):  # their characters, from where each is found
+                place, hit = _find(fresh, mine)
+                where = np.zeros(len(fresh), np.int64)
+                where[place[hit]] = at[hit]
+                whole = flat.astype("<u4").tobytes().decode("utf-32-le")
+                more = np.empty(len(fresh), object)
+                more[:] = [whole[i - ORDER + 1 : i + 1] for i in where.tolist()]
+                known, grams, old = np.r_[known, fresh], np.r_[grams, more], np.r_[old, new_counts]
+                order = np.argsort(known)
+                known, grams, old = known[order], grams[order], old[order]
+            sums[model] = (known, grams, old)
 
         def emit() -> Iterator[pa.RecordBatch]:
             for (lang, fold), (_, grams, c) in sums.items():
@@ -192,12 +221,20 @@ def packed(model: DataFrame) -> DataFrame:
     return probabilities.unionByName(contexts).groupBy("lang", "fold", "shard").applyInArrow(run, "lang string, fold int, shard int, n long, keys binary, logp binary, bkeys binary, logb binary")
 
 
-class Shard:
-    """A shard's sorted arrays."""
+class Model:
+    """Sorted arrays of some shards of a model."""
+
+    def __init__(self, shards: list[tuple]):
+        """shards: (number, keys, logp, bkeys, logb), the arrays as bytes."""
+        self.shards = np.zeros(SHARDS, bool)
+        self.shards[[s[0] for s in shards]] = True
+        self.keys, self.logp = self._merged([np.frombuffer(s[1], np.uint64) for s in shards], [np.frombuffer(s[2], np.float32) for s in shards])
+        self.bkeys, self.logb = self._merged([np.frombuffer(s[3], np.uint64) for s in shards], [np.frombuffer(s[4], np.float32) for s in shards])
 
-    def __init__(self, keys: bytes, logp: bytes, bkeys: bytes, logb: bytes):
-        self.keys, self.logp = np.frombuffer(keys, np.uint64), np.frombuffer(logp, np.float32)
-        self.bkeys, self.logb = np.frombuffer(bkeys, np.uint64), np.frombuffer(logb, np.float32)
+    @staticmethod
+    def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        all_keys, first = np.unique(np.concatenate(keys), return_index=True)
+        return all_keys, np.concatenate(values)[first]
 
     def log_p(self, h: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         """Log probabilities of n-grams from their hashes by order and their contexts'; what the model lacks is backed off."""
@@ -213,6 +250,22 @@ class Shard:
         out[left] = weight[left] + np.log(UNSEEN)
         return out
 
+    def losses(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Nats of the characters of each text that the shards predict.
+
+        The n-grams of all texts together are looked up once each.
+        """
+        flat, at = padded(parts)
+        if not len(at):
+            return np.zeros(len(parts))
+        _, first, place = np.unique(longest(flat, at), return_index=True, return_inverse=True)
+        one = at[first]
+        mine = self.shards[(flat[one - 1] % np.uint64(SHARDS)).astype(np.int64)]
+        log_p = np.zeros(len(one))
+        log_p[mine] = self.log_p(*hashes_at(flat, one[mine]))
+        doc = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        return -np.bincount(doc, weights=log_p[place], minlength=len(parts))
+
 
 def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
@@ -221,35 +274,37 @@ def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-def loss(shards: dict[int, Shard] | None, text: str) -> tuple[float | None, int]:
-    """Nats of the text's characters that the shards predict (null without any), and its letters.
+def _score(models: dict[tuple, Model], lang: Column, fold: Column, text: Column) -> Column:
+    """A struct of loss (null without a model or a letter) and letters.
 
     All characters are predicted but only letters share the sum: marks in odd
     places, each cheap in a long run of them, then weigh on the words.
     """
-    c = codes(text)
-    n = letters(c)
-    if not n or not shards:
-        return None, n
-    padded = np.concatenate([_PAD, c])
-    h = keys(padded)
-    _, first, count = np.unique(h[-1], return_index=True, return_counts=True)
-    before = padded[ORDER - 2 + first]  # the character before the predicted one
-    pad_h = keys(np.concatenate([_PAD[:1], padded])[: len(padded)])  # what ends before each character
-    total = 0.0
-    shard_of = before % SHARDS
-    for k in np.unique(shard_of).tolist():
-        if k in shards:
-            mine = first[shard_of == k]
-            total -= float((shards[k].log_p([x[mine] for x in h], [x[mine] for x in pad_h]) * count[shard_of == k]).sum())
-    return total, n
-
-
-def _score(models: dict[tuple, dict[int, Shard]], lang: Column, fold: Column, text: Column) -> Column:
+
     @F.arrow_udf("loss double, letters long")
     def run(langs: pa.Array, folds: pa.Array, texts: pa.Array) -> pa.Array:
-        got = [loss(models.get((k, 1 - f)), t.as_py()) for k, f, t in zip(langs.to_pylist(), folds.to_pylist(), texts, strict=True)]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], names=["loss", "letters"])
+        out: list = [None] * len(texts)
+        size = [0] * len(texts)
+        waiting: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+        held: dict[tuple, int] = {}
+
+        def flush(model: tuple) -> None:
+            rows = waiting.pop(model)
+            for (i, _), x in zip(rows, models[model].losses([c for _, c in rows]).tolist(), strict=True):
+                out[i] = x
+
+        for i, (k, f, t) in enumerate(zip(langs.to_pylist(), folds.to_pylist(), texts, strict=True)):
+            c, model = codes(t.as_py()), (k, 1 - f)
+            size[i] = letters(c)
+            if size[i] and model in models:
+                waiting.setdefault(model, []).append((i, c))
+                held[model] = held.get(model, 0) + len(c)
+                if held[model] >= CHUNK:
+                    flush(model)
+                    held[model] = 0
+        for model in list(waiting):
+            flush(model)
+        return pa.StructArray.from_arrays([pa.array(out, pa.float64()), pa.array(size, pa.int64())], names=["loss", "letters"])
 
     return run(lang, fold, text)
 
@@ -278,9 +333,10 @@ def log_perplexity(docs: DataFrame, arrays: DataFrame, more: list[Column], mater
     for group in groups:
         wanted = docs.sparkSession.createDataFrame(group, "lang string, fold int, shard int") if group else None
         got = arrays.join(F.broadcast(wanted), ["lang", "fold", "shard"], "left_semi").toArrow() if group else None
-        models: dict[tuple, dict[int, Shard]] = {}
+        shards: dict[tuple, list[tuple]] = {}
         for k in range(got.num_rows if got else 0):
-            models.setdefault((got["lang"][k].as_py(), got["fold"][k].as_py()), {})[got["shard"][k].as_py()] = Shard(*(got[c][k].as_buffer() for c in ("keys", "logp", "bkeys", "logb")))
+            shards.setdefault((got["lang"][k].as_py(), got["fold"][k].as_py()), []).append((got["shard"][k].as_py(), *(got[c][k].as_buffer() for c in ("keys", "logp", "bkeys", "logb"))))
+        models = {model: Model(held) for model, held in shards.items()}
         scored = _score(models, F.col("lang"), F.col("fold"), F.col("text")).alias("x")
         if len(groups) == 1:
             return docs.select(*columns, *more, scored).select("*", "x.*").withColumn("log_ppl", ppl).drop("x", "loss")
