@@ -1,5 +1,5 @@
 """All queries; importing the package registers them."""
 
-from verdigris.plans import aggregates, joins, legal, sampling, scans, text, windows
+from verdigris.plans import aggregates, joins, legal, records, sampling, scans, text, windows
 
-__all__ = ["aggregates", "joins", "legal", "sampling", "scans", "text", "windows"]
+__all__ = ["aggregates", "joins", "legal", "records", "sampling", "scans", "text", "windows"]
