@@ -62,3 +62,19 @@ def insert_new(stored: DataFrame, incoming: DataFrame, *ladder: list[str]) -> Da
     for keys in ladder:
         out = best_per_key(out, keys, *(F.col(c) for c in out.columns))
     return out
+
+
+def replace_details(old: DataFrame, new: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """old without the detail rows of the headers, and new in their place."""
+    return old.join(headers.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
+
+
+def delete(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """df without the rows of some keys; a null key deletes nothing."""
+    return df.join(keys.select(*on).distinct(), list(on), "left_anti").select(*df.columns)
+
+
+def deletions(wanted: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """key, refused: deletions asked for, refused where something refers to the key."""
+    held = references.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_held", F.lit(True))
+    return wanted.select(key).distinct().join(held, key, "left").select(key, F.col("_held").isNotNull().alias("refused"))
