@@ -8,6 +8,9 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Samples must be the same wherever they are drawn.  The seed is
+# hashed with the 32-bit finaliser of MurmurHash3, and numbers come from the
+# public generator mulberry32.
 _MASK = 0xFFFFFFFF
 
 

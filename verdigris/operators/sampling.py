@@ -8,8 +8,6 @@ works on one stratum at a time and only up to MOST_SHUFFLED ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +79,8 @@ def balanced(strata: DataFrame, n: int, key: str = "stratum", size: str = "size"
 def stratified_hash_sample(df: DataFrame, id_col: str, allocation: DataFrame, seed: str, key: str = "stratum") -> DataFrame:
     """The ids of each stratum with the smallest salted hashes, as many as it is allocated."""
     keyed = df.withColumn("sample_key", F.sha2(F.concat(F.lit(seed + ":"), F.col(key), F.lit(":"), F.col(id_col).cast("string")), 256))
-    ranked = keyed.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("sample_key", id_col)))
+    most = allocation.agg(F.max("allocated")).first()[0] or 0  # a literal bound lets each task keep that many of a stratum before the shuffle
+    ranked = keyed.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("sample_key", id_col))).where(F.col("position") <= most)
     return ranked.join(allocation.select(key, "allocated"), key).where("position <= allocated").select(key, id_col, "position")
 
 
@@ -101,16 +100,21 @@ def stratified_shuffle_sample(df: DataFrame, id_col: str, allocation: DataFrame,
 
 
 def candidate_hash(df: DataFrame, id_col: str) -> str:
-    """SHA-256 of all ids in ascending order, one to a line; read in order, partition by partition."""
+    """SHA-256 of all ids in ascending order, one to a line.
+
+    That is sequential by definition, so it takes at most MOST_SHUFFLED ids,
+    checked; population_hash has no such bound.
+    """
     import hashlib
 
-    digest, first = hashlib.sha256(), True
-    for row in _in_order(df, id_col):
-        digest.update((row if first else "\n" + row).encode())
-        first = False
-    return digest.hexdigest()
+    rows = df.select(F.col(id_col).cast("string")).limit(MOST_SHUFFLED + 1).collect()
+    if len(rows) > MOST_SHUFFLED:
+        raise ValueError(f"more than {MOST_SHUFFLED} ids: take population_hash")
+    return hashlib.sha256("\n".join(sorted(r[0] for r in rows)).encode()).hexdigest()
 
 
-def _in_order(df: DataFrame, id_col: str) -> Iterator[str]:
-    for row in df.select(F.col(id_col).cast("string").alias("id")).orderBy("id").toLocalIterator():
-        yield row["id"]
+def population_hash(df: DataFrame, id_col: str) -> DataFrame:
+    """h, n: a hash of the set of ids in any order, in one partial and one final aggregate: SHA-256 of the sums of the eight words of each id's SHA-256."""
+    digest = F.sha2(F.col(id_col).cast("string"), 256)
+    words = [F.coalesce(F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")), F.lit(0)).alias(f"w{k}") for k in range(8)]
+    return df.agg(F.count("*").alias("n"), *words).select(F.sha2(F.concat_ws(":", *(F.col(f"w{k}").cast("string") for k in range(8))), 256).alias("h"), "n")

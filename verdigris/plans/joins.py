@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.rates import outcome_counts, percent
 from verdigris.operators import keyed, matching
-from verdigris.operators.terms import term_counts
 from verdigris.plans.registry import query
 from verdigris.sources.tables import CASES, ITEMS, case_items, cases, table
 
@@ -136,12 +135,14 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j12_similar_cases",
-    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents), t AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2), norm AS (SELECT doc_id, sqrt(sum(n * n)) AS n FROM t GROUP BY doc_id), o AS (SELECT * FROM t WHERE doc_id = 3)
-    SELECT t.doc_id, round(sum(t.n * o.n) / (any_value(norm.n) * (SELECT n FROM norm WHERE doc_id = 3)), 6) AS cosine FROM t JOIN o USING (term) JOIN norm ON norm.doc_id = t.doc_id WHERE t.doc_id <> 3 GROUP BY t.doc_id ORDER BY cosine DESC, t.doc_id LIMIT 10""",
+    r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents), t AS (SELECT doc_id, term, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2), norm AS (SELECT doc_id, sqrt(sum(n * n)) AS n FROM t GROUP BY doc_id), o AS (SELECT * FROM t WHERE doc_id % 50 = 0),
+    c AS (SELECT o.doc_id AS query, t.doc_id AS id, round(sum(t.n * o.n) / (any_value(a.n) * any_value(b.n)), 6) AS cosine FROM t JOIN o USING (term) JOIN norm a ON a.doc_id = t.doc_id JOIN norm b ON b.doc_id = o.doc_id WHERE t.doc_id <> o.doc_id GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id)::INTEGER AS position FROM c) WHERE position <= 10""",
 )
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    counts = term_counts(table(spark, d, "documents"), "doc_id", "text").withColumn("n", F.col("n").cast("double"))
-    return matching.similar_to(counts, "doc_id", "term", "n", 3, 10)
+    """The ten documents most like each query document; queries are those whose id is divisible by 50."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return matching.similar_documents(docs, docs.where("doc_id % 50 = 0"), 10, id_col="doc_id", text_col="text")
 
 
 @query(
@@ -193,15 +194,12 @@ def k03(spark: SparkSession, d: str) -> DataFrame:
     return keyed.flag_duplicates(rows, "h", "doc_id").select("doc_id", "duplicate_of")
 
 
-@query("vector_similarity", "WITH t AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS cosine FROM embeddings, t WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 10")
+@query(
+    "vector_similarity",
+    """WITH c AS (SELECT q.vec_id AS query, r.vec_id AS id, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id)::INTEGER AS position FROM c) WHERE position <= 10""",
+)
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors nearest to one of the table, which is a literal in the scan: no join."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    one = rows.where("vec_id = 0").first()
-    if one is None:
-        return rows.select("vec_id", F.lit(0.0).alias("cosine")).limit(0)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    q = F.array(*map(F.lit, one["e"]))
-    norm = sum(x * x for x in one["e"]) ** 0.5
-    cosine = total(F.zip_with("e", q, lambda a, b: a * b)) / (F.sqrt(total(F.transform("e", lambda a: a * a))) * norm)
-    return rows.where("vec_id <> 0").select("vec_id", F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(10)
+    """The ten vectors nearest to each query vector; queries are those whose id is divisible by 50."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return matching.nearest(rows, rows.where("vec_id % 50 = 0"), 10, id_col="vec_id", vector_col="embedding")

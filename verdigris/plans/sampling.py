@@ -80,6 +80,15 @@ def m09(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(sp.candidate_hash(rows, "c_custkey"), rows.count())], "h string, n long")
 
 
+_WORDS = ", ".join(f"sum(('0x' || substring(x, {8 * k + 1}, 8))::BIGINT)" for k in range(8))
+
+
+@query("m09_population_hash", f"SELECT sha256(concat_ws(':', {_WORDS})) AS h, count(*) AS n FROM (SELECT sha256(o_orderkey::VARCHAR) AS x FROM orders)")
+def m09_any(spark: SparkSession, d: str) -> DataFrame:
+    """A population's hash without an order, for any size."""
+    return sp.population_hash(table(spark, d, "orders"), "o_orderkey")
+
+
 @query(
     "a24_snapshot_distributions",
     "SELECT 'segment' AS dimension, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'nation', c_nationkey::VARCHAR, count(*) FROM customer GROUP BY 2",

@@ -37,15 +37,15 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return keyed.first_n(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", 5, F.col("ts"), F.col("event_id")).select("user_id", "event_id", "position")
 
 
-@query("w06_first_wins", "SELECT text, min(doc_id) AS doc_id FROM documents WHERE length(text) < 200 GROUP BY text")
+@query("w06_first_wins", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.length("text") < 200).select("text", "doc_id")
+    rows = table(spark, d, "documents").select("text", "doc_id")
     return keyed.best_per_key(rows, ["text"], F.col("doc_id"))
 
 
-@query("w09_positions", "SELECT conv_id, turn, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS pos, unnest(list_transform(string_split(text, chr(10)), lambda x: length(x)))::INTEGER AS n FROM conversations WHERE turn = 0")
+@query("w09_positions", "SELECT conv_id, turn, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS pos, unnest(list_transform(string_split(text, chr(10)), lambda x: length(x)))::INTEGER AS n FROM conversations")
 def w09(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "conversations").where("turn = 0").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("conv_id", "turn", "pos", F.length("line").alias("n"))
 
 
