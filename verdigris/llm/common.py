@@ -14,13 +14,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session gets a temporary one, as in tests; on a
+    cluster, where no executor would see it, that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="verdigris-"))
     return sc.getCheckpointDir()
 
 
+#: Folders of the tables that materialise has written, in order.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
@@ -29,9 +40,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are; a mark for ``discard``."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables written since a mark, but for the last ``keep``: when what was made from them is a table itself."""
+    jvm = spark.sparkContext._jvm
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _WRITTEN.remove(path)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -113,11 +113,11 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     * Rows that repeat an id are the same document to the order: of windows at
       the same place in each none is earlier, so both stay; of windows that
       they have at different places one stays.
-    * Rows without id come last in the order, as one document.
+    * Rows without id come last, in the order of a hash of their texts; those with the same text are the same document.
     * Extra columns are ignored; an empty table gives an empty result.
     """
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), last).cast("long").alias("place"), F.col(text_col).alias("text"))
+    last = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), last).alias("place"), F.col(text_col).alias("text"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(_anchors(rows, window)))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
