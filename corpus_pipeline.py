@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import decontamination, language_id, line_dedup, ngram_jaccard, packing
-from verdigris.llm.common import materialise
+from verdigris.llm.common import discard, materialise, written
 from verdigris.llm.queries import vocabulary
 
 
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's table takes the place of all that it was made from."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        discard(spark, mark, keep=1)
     return docs
