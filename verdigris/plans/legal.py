@@ -56,25 +56,32 @@ _CLEAN = f"trim({_CLEAN}, ' ' || chr(10) || chr(13) || chr(9))"
 _SECTION = {name: (opens, ends) for name, opens, ends in t.SECTIONS}
 
 
-def clean(text: Column | None = None) -> Column:
-    return rules.without(the_text() if text is None else text, t.BOILERPLATE)
+def awards(spark: SparkSession, d: str) -> DataFrame:
+    """Award texts with what most rules start from, each in a column of its own, so that it is computed once and only if it is used.
+
+    clean (without boilerplate), a column for each section, decided (the
+    decision, or the whole text of an award without one).
+    """
+    out = award_texts(spark, d).withColumn("clean", rules.without(the_text(), t.BOILERPLATE))
+    out = out.select("*", *(rules.section(F.col("clean"), o, e).alias(n) for n, o, e in t.SECTIONS))
+    return out.withColumn("decided", F.coalesce(F.nullif("decision", F.lit("")), the_text()))
 
 
-def section(name: str, text: Column | None = None) -> Column:
-    return rules.section(clean() if text is None else text, *_SECTION[name])
+def section(name: str) -> Column:
+    return F.col(name)
 
 
 @query("t04_remove_boilerplate", f"WITH {TEXTS} SELECT case_id, {_CLEAN} AS clean FROM texts")
 def t04(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select("case_id", clean().alias("clean"))
+    return awards(spark, d).select("case_id", "clean")
 
 
 @query("t05_sections", f"WITH {TEXTS}, c AS (SELECT case_id, {_CLEAN} AS clean FROM texts) SELECT case_id, " + ", ".join(f"{_section('clean', o, e)} AS {n}" for n, o, e in t.SECTIONS) + f", regexp_extract(clean, {_lit('(?:依照|依据|根据)《[^》]+》[第0-9一二三四五六七八九十百千条款项、及\\s]+(?:之规定)?')}) AS legal FROM c")
 def t05(spark: SparkSession, d: str) -> DataFrame:
     """The sections of an award; null where its heading is missing."""
-    c = award_texts(spark, d).select("case_id", clean().alias("clean"))
+    c = awards(spark, d)
     legal = F.regexp_extract("clean", "((?:依照|依据|根据)《[^》]+》[第0-9一二三四五六七八九十百千条款项、及\\s]+(?:之规定)?)", 1)
-    return c.select("case_id", *(section(n, F.col("clean")).alias(n) for n in _SECTION), legal.alias("legal"))
+    return c.select("case_id", *_SECTION, legal.alias("legal"))
 
 
 _ENTITIES = f"""nullif(regexp_extract(text, {_lit(t.CASE_NUMBER)}), '') AS case_number, nullif(regexp_extract(text, {_lit(t.COMMITTEE)}), '') AS committee,
@@ -97,7 +104,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({t.DATES})"), F.lit(1)))
     paid = F.filter(F.transform(F.regexp_extract_all("text", F.lit(t.PAID), F.lit(1)), lambda v: v.cast("double")), lambda v: (v > 0) & (v < 100000000))
     total = F.when(F.size(F.array_distinct(paid)) > 0, F.aggregate(F.array_distinct(paid), F.lit(0.0), lambda a, v: a + v))
-    return award_texts(spark, d).select("case_id", *entities(), F.array_join(found, ";").alias("dates"), total.alias("paid"), F.size(F.array_distinct(paid)).cast("long").alias("n_paid"))
+    return awards(spark, d).select("case_id", *entities(), F.array_join(found, ";").alias("dates"), total.alias("paid"), F.size(F.array_distinct(paid)).cast("long").alias("n_paid"))
 
 
 _SPLIT_CLAIMS = "list_filter(list_transform(regexp_split_to_array({c}, '[1-9一二三四五六七八九十][、.：:]|\\n'), lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9))), lambda x: length(x) >= 4 AND NOT starts_with(x, '仲裁请求'))"
@@ -125,8 +132,8 @@ def articles() -> Column:
 )
 def t08(spark: SparkSession, d: str) -> DataFrame:
     """An award's fields side by side, null where it lacks one."""
-    c = award_texts(spark, d).select("case_id", clean().alias("text"))
-    return c.select("case_id", *entities(), F.array_join(split_claims(section("claims", the_text())), "|").alias("claims"), section("facts", the_text()).alias("facts"), section("decision", the_text()).alias("decision"), F.array_join(articles(), "|").alias("legal_basis"))
+    c = awards(spark, d).withColumn("text", F.col("clean"))
+    return c.select("case_id", *entities(), F.array_join(split_claims(section("claims")), "|").alias("claims"), "facts", "decision", F.array_join(articles(), "|").alias("legal_basis"))
 
 
 def _token_sql() -> str:
@@ -172,7 +179,7 @@ def legal_tokens(text: Column) -> Column:
     k AS (SELECT unnest(w) AS token FROM r{_LAST} UNION ALL SELECT {_SYNONYM_SQL.format(g='g')} FROM g WHERE NOT list_contains({_STOP}, g)) SELECT token, count(*) AS n FROM k GROUP BY token""",
 )
 def t09(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select(F.explode(legal_tokens(the_text())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return awards(spark, d).select(F.explode(legal_tokens(the_text())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def _labels_sql(table: list[t.Rule], before: int, after: int, bonus: float) -> str:
@@ -182,7 +189,7 @@ def _labels_sql(table: list[t.Rule], before: int, after: int, bonus: float) -> s
 
 
 def _labelled(spark: SparkSession, d: str, labels: Column) -> DataFrame:
-    out = award_texts(spark, d).select("case_id", F.explode(labels).alias("x"))
+    out = awards(spark, d).select("case_id", F.explode(labels).alias("x"))
     return out.select("case_id", "x.name", F.array_join(F.array_sort("x.words"), ";").alias("words"), "x.snippet", "x.confidence")
 
 
@@ -205,7 +212,7 @@ def _first_sql(table: list[t.Rule], first: str, least: int, wide: tuple[int, int
 @query("t13_defenses", f"WITH {TEXTS}, s AS (SELECT case_id, text, {_section(_CLEAN, *_SECTION['respondent'])} AS respondent FROM texts), " + _first_sql(t.DEFENSES, "respondent", 10, (15, 25), "context", (10, 25), ("respondent", "text")))
 def t13(spark: SparkSession, d: str) -> DataFrame:
     """Defences by the patterns for the respondent's own section, else by those that name the respondent anywhere."""
-    s = award_texts(spark, d).select("case_id", "text", section("respondent").alias("respondent"))
+    s = awards(spark, d).select("case_id", "text", section("respondent").alias("respondent"))
     found = rules.labels_first([(F.col("respondent"), "patterns", 0, "respondent"), (the_text(), "context", 0.15, "text")], t.DEFENSES, 10, 15, 25)
     return s.select("case_id", F.explode(found).alias("x")).select("case_id", "x.*")
 
@@ -214,7 +221,7 @@ def t13(spark: SparkSession, d: str) -> DataFrame:
 def t15(spark: SparkSession, d: str) -> DataFrame:
     """Reasons why a side lost, from reasoning and facts first, else from the whole text."""
     own = F.concat(F.coalesce(section("reasoning"), F.lit("")), F.lit("\n"), F.coalesce(section("facts"), F.lit("")))
-    s = award_texts(spark, d).select("case_id", "text", own.alias("own"))
+    s = awards(spark, d).select("case_id", "text", own.alias("own"))
     found = rules.labels_first([(F.col("own"), "patterns", 0, "reasoning"), (the_text(), "patterns", 0.15, "text")], t.LOSSES, 20, 20, 40)
     return s.select("case_id", F.explode(found).alias("x")).select("case_id", "x.*")
 
@@ -228,7 +235,7 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
     committee, year = rules.first_match(the_text(), t.COMMITTEE), rules.first_match(the_text(), "（([0-9]{4})）([0-9]+)号", 1)
     level = F.when(the_text().rlike("仲裁裁决书"), "arbitration").when(F.contains(the_text(), F.lit("民终")), "second").when(F.contains(the_text(), F.lit("民初")), "first").otherwise("unknown")
     title = F.concat(committee, F.lit("与"), F.regexp_extract("text", "被申请人[：:]([^，。\\n]+)", 1))
-    return award_texts(spark, d).select("case_id", title.alias("title"), F.coalesce(committee, F.lit(t.DEFAULT_COMMITTEE)).alias("court"), year.cast("int").alias("year"), level.alias("level"), F.coalesce(F.col("filed").cast("string"), F.concat(year, F.lit("-01-01"))).alias("date"))
+    return awards(spark, d).select("case_id", title.alias("title"), F.coalesce(committee, F.lit(t.DEFAULT_COMMITTEE)).alias("court"), year.cast("int").alias("year"), level.alias("level"), F.coalesce(F.col("filed").cast("string"), F.concat(year, F.lit("-01-01"))).alias("date"))
 
 
 PARTY = "(被申请人|申请人|被上诉人|上诉人|原告|被告|第三人)[：:]([^，,。；;\\n（(]{2,40})"
@@ -255,7 +262,7 @@ def parties() -> Column:
     CASE WHEN regexp_matches(name, '{_EMPLOYER}') THEN 0.9 WHEN regexp_matches(name, '^[一-龥某×*]{{2,4}}$') THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence FROM p""",
 )
 def t17(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select("case_id", F.explode(parties()).alias("p")).select("case_id", "p.*")
+    return awards(spark, d).select("case_id", F.explode(parties()).alias("p")).select("case_id", "p.*")
 
 
 def _without_sql(words: list[str]) -> str:
@@ -280,13 +287,13 @@ def t18(spark: SparkSession, d: str) -> DataFrame:
 
     found = F.array_compact(F.array(*(F.when(rules.has_any(target(v), words), F.lit(n)) for n, v, words in t.DISPUTE_TYPES)))
     more = rules.let(found, lambda x: F.when(F.array_contains(x, "违法解除赔偿金"), F.array_union(x, F.array(F.lit("劳动合同解除")))).when(F.size(x) > 0, x).otherwise(F.array(F.lit("劳动争议综合"))))
-    return award_texts(spark, d).select("case_id", F.explode(more).alias("type"))
+    return awards(spark, d).select("case_id", F.explode(more).alias("type"))
 
 
 @query("t19_court_sections", f"WITH {TEXTS}, j AS (SELECT case_id, replace(replace(text, '本委认为', '本院认为'), '裁决如下', '判决如下') AS text FROM texts) SELECT case_id, " + ", ".join(f"{_section('text', o, e, c)} AS {n}" for n, o, e, c in t.COURT_SECTIONS) + " FROM j")
 def t19(spark: SparkSession, d: str) -> DataFrame:
     """Sections of court judgments, some of them clipped."""
-    j = award_texts(spark, d).select("case_id", F.replace(F.replace(the_text(), F.lit("本委认为"), F.lit("本院认为")), F.lit("裁决如下"), F.lit("判决如下")).alias("text"))
+    j = awards(spark, d).select("case_id", F.replace(F.replace(the_text(), F.lit("本委认为"), F.lit("本院认为")), F.lit("裁决如下"), F.lit("判决如下")).alias("text"))
     return j.select("case_id", *(rules.section(the_text(), o, e, c).alias(n) for n, o, e, c in t.COURT_SECTIONS))
 
 
@@ -356,7 +363,7 @@ _CLAIM_ROWS = f"""{_claims_sql()}, n AS (SELECT case_id, src, coalesce(decision,
 
 def claim_rows(spark: SparkSession, d: str) -> DataFrame:
     """case_id, name, type, asked, awarded, outcome of each claim."""
-    s = award_texts(spark, d).select("case_id", section("claims").alias("claims"), section("decision").alias("decision"))
+    s = awards(spark, d).select("case_id", section("claims").alias("claims"), section("decision").alias("decision"))
     return s.select("case_id", F.explode(claims_of(F.col("claims"), F.col("decision"))).alias("c")).select("case_id", "c.*")
 
 
@@ -385,7 +392,7 @@ _AWARDED = f"CASE action WHEN 'reject' THEN 0.0 WHEN 'pay' THEN TRY_CAST(replace
 
 @query("t21_judgment_actions", f"WITH {TEXTS}, {_CLAUSES} SELECT *, {_AWARDED} AS awarded FROM clauses")
 def t21(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select("case_id", F.explode(clauses(section("decision"))).alias("c")).select("case_id", "c.*")
+    return awards(spark, d).select("case_id", F.explode(clauses(section("decision"))).alias("c")).select("case_id", "c.*")
 
 
 @query("t22_claim_types", f"WITH {TEXTS}, {_CLAIM_ROWS} SELECT type, count(*) AS n, sum(CASE WHEN asked IS NULL THEN 0 ELSE 1 END)::BIGINT AS with_amount FROM claims GROUP BY type")
@@ -400,7 +407,7 @@ REFERENCE = "上述|前述|该项请求|第[一二三四五六七八九十]+项|
 def t23(spark: SparkSession, d: str) -> DataFrame:
     """Clauses that point at claims by number or by what was said before."""
     parts = F.filter(F.transform(F.split(section("decision"), "[。；;\n\r]+"), lambda x: F.trim(x)), lambda x: x.rlike(REFERENCE))
-    return award_texts(spark, d).select("case_id", F.explode(parts).alias("source"))
+    return awards(spark, d).select("case_id", F.explode(parts).alias("source"))
 
 
 _PART = "([^，。；\\n]*?(?:{p})[^，。；\\n]*)"
@@ -414,7 +421,7 @@ _PART = "([^，。；\\n]*?(?:{p})[^，。；\\n]*)"
 )
 def t24(spark: SparkSession, d: str) -> DataFrame:
     """Defences with the sentence part that names them: best in the respondent's section, then in the reasoning."""
-    s = award_texts(spark, d).select("case_id", "text", section("respondent").alias("r"), section("reasoning").alias("j"))
+    s = awards(spark, d).select("case_id", "text", section("respondent").alias("r"), section("reasoning").alias("j"))
 
     def one(name: str, words: str, part: str) -> Column:
         a, b = (F.nullif(F.trim(F.regexp_extract(c, _PART.format(p=part), 1)), F.lit("")) for c in ("r", "j"))
@@ -434,15 +441,20 @@ def t24(spark: SparkSession, d: str) -> DataFrame:
 def t25(spark: SparkSession, d: str) -> DataFrame:
     """Evidence with who handed it in: the actor before the first verb, unless that is denied."""
 
+    handed = F.filter(F.transform(F.split(the_text(), "[。；\n]"), lambda s: F.trim(s)), lambda s: s.rlike(t.HANDED_IN))
+
     def one(name: str, words: str, part: str) -> Column:
-        sentence = F.get(F.filter(F.transform(F.split(the_text(), "[。；\n]"), lambda s: F.trim(s)), lambda s: rules.has_any(s, words) & s.rlike(t.HANDED_IN)), F.lit(0))
+        first = F.get(F.filter("handed", lambda s: rules.has_any(s, words)), F.lit(0))
+        return F.when(rules.has_any(the_text(), words), rules.let(first, lambda s: shaped(s, name, words, part)))
+
+    def shaped(sentence: Column, name: str, words: str, part: str) -> Column:
         before = F.regexp_extract(sentence, f"^(.*?)(?:{t.HANDED_IN})", 1)
         provider = F.when(sentence.isNull() | before.rlike("(未|没|没有|未能)$"), "unknown").when(before.rlike("第三方|第三人"), "third_party").when(before.rlike("(本院|法院)(依法)?$"), "court").when(F.contains(before, F.lit("被申请人")), "employer").when(F.contains(before, F.lit("申请人")), "employee").otherwise("unknown")
         matched = F.nullif(F.trim(F.regexp_extract(the_text(), _PART.format(p=part), 1)), F.lit(""))
-        found = rules.let(provider, lambda p: F.struct(F.lit(name).alias("name"), p.alias("provider"), F.when(p != "unknown", sentence).otherwise(F.coalesce(matched, F.lit(words.split()[0]))).alias("matched"), F.when(p != "unknown", 0.9).when(matched.isNotNull(), 0.7).otherwise(0.5).alias("confidence")))
-        return F.when(rules.has_any(the_text(), words), found)
+        return rules.let(provider, lambda p: F.struct(F.lit(name).alias("name"), p.alias("provider"), F.when(p != "unknown", sentence).otherwise(F.coalesce(matched, F.lit(words.split()[0]))).alias("matched"), F.when(p != "unknown", 0.9).when(matched.isNotNull(), 0.7).otherwise(0.5).alias("confidence")))
 
-    return award_texts(spark, d).select("case_id", F.explode(F.array_compact(F.array(*(one(*k) for k in t.EVIDENCE_KINDS)))).alias("x")).select("case_id", "x.*")
+    rows = awards(spark, d).select("case_id", "text", handed.alias("handed"))
+    return rows.select("case_id", F.explode(F.array_compact(F.array(*(one(*k) for k in t.EVIDENCE_KINDS)))).alias("x")).select("case_id", "x.*")
 
 
 @query("t26_key_points", f"WITH {TEXTS}, r AS (SELECT case_id, coalesce({_section(_CLEAN, *_SECTION['reasoning'])}, '') AS j FROM texts), p AS (SELECT case_id, list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(_any('j', g) for g in groups)} THEN {_lit(n)} END" for n, groups in t.KEY_POINTS) + f"], lambda x: x IS NOT NULL) AS p FROM r) SELECT case_id, unnest(CASE WHEN len(p) > 0 THEN p ELSE [{_lit(t.NO_KEY_POINT)}] END) AS point FROM p")
@@ -456,7 +468,7 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
         return out
 
     found = F.array_compact(F.array(*(F.when(all_of(groups), F.lit(n)) for n, groups in t.KEY_POINTS)))
-    return award_texts(spark, d).select("case_id", F.explode(rules.let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(t.NO_KEY_POINT))))).alias("point"))
+    return awards(spark, d).select("case_id", F.explode(rules.let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(t.NO_KEY_POINT))))).alias("point"))
 
 
 @query(
@@ -466,7 +478,7 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
 )
 def t27(spark: SparkSession, d: str) -> DataFrame:
     """Why a claim's outcome is known or not: a ladder of reasons."""
-    texts = award_texts(spark, d).select("case_id", section("claims").alias("claims"), section("decision").alias("decision"))
+    texts = awards(spark, d).select("case_id", section("claims").alias("claims"), section("decision").alias("decision"))
     rows = texts.select("case_id", F.size(clauses(F.col("decision"))).alias("actions"), F.explode(claims_of(F.col("claims"), F.col("decision"))).alias("c"))
     reason = F.when(F.col("c.outcome") != "unclear", "RESOLVED").when(F.coalesce("actions", F.lit(0)) <= 0, "NO_JUDGMENT_ACTION").when(F.col("c.asked").isNull(), "NO_REQUESTED_AMOUNT").otherwise("NO_MATCHING_ACTION")
     return rows.select("case_id", "c.name", "c.outcome", reason.alias("reason"), (F.col("c.outcome") == "unclear").alias("needs_review"))
@@ -489,7 +501,8 @@ def t28(spark: SparkSession, d: str) -> DataFrame:
     """The outcome of both sides from an award's claims, in the row: no shuffle."""
     from verdigris.functions.rates import merged_outcome
 
-    s = award_texts(spark, d).select("case_id", applicant_role().alias("role"), merged_outcome(F.transform(claims_of(section("claims"), section("decision")), lambda c: c["outcome"])).alias("applicant"))
+    found = awards(spark, d).select("case_id", "text", claims_of(section("claims"), section("decision")).alias("found"))
+    s = found.select("case_id", applicant_role().alias("role"), merged_outcome(F.transform("found", lambda c: c["outcome"])).alias("applicant"))
     return s.select("case_id", "role", "applicant", *party_outcomes(F.col("role"), F.col("applicant")))
 
 
@@ -524,8 +537,8 @@ def award_outcome(decision: Column) -> Column:
 @query("t30_arbitration_parser", f"WITH {TEXTS}, s AS (SELECT *, {_DECIDED} AS dec FROM texts) SELECT case_id, {_ENTITIES.replace(chr(10), ' ')}, len({_SPLIT_CLAIMS.format(c='(' + _section(_CLEAN, *_SECTION['claims']) + ')')}) AS n_claims, {_award_outcome_sql()} AS outcome, {_section(_CLEAN, *_SECTION['reasoning'])} AS reasoning FROM s")
 def t30(spark: SparkSession, d: str) -> DataFrame:
     """An award as a record: number, committee, parties, number of claims, outcome, reasoning."""
-    decided = F.coalesce(F.nullif(section("decision"), F.lit("")), the_text())
-    return award_texts(spark, d).select("case_id", *entities(), F.size(split_claims(section("claims"))).cast("long").alias("n_claims"), award_outcome(decided).alias("outcome"), section("reasoning").alias("reasoning"))
+    decided = F.col("decided")
+    return awards(spark, d).select("case_id", *entities(), F.size(split_claims(section("claims"))).cast("long").alias("n_claims"), award_outcome(decided).alias("outcome"), section("reasoning").alias("reasoning"))
 
 
 _LAW = "(?:" + "|".join(t.LAWS) + ")第[一二三四五六七八九十百0-9、及]+条"
@@ -536,8 +549,8 @@ def t31(spark: SparkSession, d: str) -> DataFrame:
     """Laws named, tags by key words, outcome and number of an award."""
     laws = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({_LAW})"), F.lit(1)))
     number = F.regexp_replace(F.regexp_extract("text", "(深[一-龥]{0,6}劳人仲[案裁字]?[（(\\[]?\\s*[0-9]{4}\\s*[)）\\]]?[0-9]+号)", 1), "\\s+", "")
-    decided = F.coalesce(F.nullif(section("decision"), F.lit("")), the_text())
-    return award_texts(spark, d).select("case_id", F.array_join(laws, "|").alias("laws"), F.array_join(rules.names_of(the_text(), t.AWARD_TAGS, "劳动报酬争议"), "|").alias("tags"), award_outcome(decided).alias("outcome"), number.alias("number"))
+    decided = F.col("decided")
+    return awards(spark, d).select("case_id", F.array_join(laws, "|").alias("laws"), F.array_join(rules.names_of(the_text(), t.AWARD_TAGS, "劳动报酬争议"), "|").alias("tags"), award_outcome(decided).alias("outcome"), number.alias("number"))
 
 
 COURTS = ["广东省广州市天河区人民法院", "江门市新会区人民法院", "浙江省余姚市人民法院", "北京第一中级人民法院", "", "某法院"]
@@ -569,7 +582,7 @@ _CODES = "(VALUES " + ", ".join(f"({_lit(k)}, {_lit(v)}, {i})" for i, (k, v) in
 )
 def t32(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda options, step: F.get(F.array(*map(F.lit, options)), (F.floor(F.col("case_id") / step) % len(options)).cast("int"))
-    s = award_texts(spark, d).select("case_id", pick(COURTS, 1).alias("court"), pick(_NUMBERS, 3).alias("number"))
+    s = awards(spark, d).select("case_id", pick(COURTS, 1).alias("court"), pick(_NUMBERS, 3).alias("number"))
     return s.select("case_id", city_of(F.col("court"), F.col("number")).alias("x")).select("case_id", "x.*")
 
 
@@ -583,7 +596,7 @@ ORDINALS = "一二三四五六七八九十"
 def t33(spark: SparkSession, d: str) -> DataFrame:
     """Clauses that name claims by their number, the first so many, or all others, and how they treat them."""
     parts = F.filter(F.split(the_text(), "[。；;，,\n\r]+"), lambda x: x.rlike(f"第[{ORDINALS}]+项|前[{ORDINALS}]项|其余(?:各项)?请求"))
-    s = award_texts(spark, d).select("case_id", F.explode(parts).alias("source"))
+    s = awards(spark, d).select("case_id", F.explode(parts).alias("source"))
     number = lambda mark: F.position(F.nullif(F.regexp_extract("source", f"{mark}([{ORDINALS}])项", 1), F.lit("")), F.lit(ORDINALS))
     return s.select("case_id", "source", number("第").alias("ordinal"), number("前").alias("first_n"), F.col("source").rlike("其余(?:各项)?请求").alias("rest"), rules.first_name(F.col("source"), t.ACTIONS, F.lit("unclear")).alias("treatment"))
 
@@ -596,14 +609,14 @@ def t34(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t36_page_tags", f"WITH {TEXTS}, g AS (SELECT case_id, list_concat({_names('text', [(c, c) for c in t.PAGE_CITIES])}, {_names('text', t.PAGE_TAGS)}) AS x FROM texts) SELECT case_id, unnest(CASE WHEN len(x) > 0 THEN x ELSE ['劳动争议'] END) AS tag FROM g")
 def t36(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select("case_id", F.explode(rules.names_of(the_text(), [(c, c) for c in t.PAGE_CITIES] + t.PAGE_TAGS, "劳动争议")).alias("tag"))
+    return awards(spark, d).select("case_id", F.explode(rules.names_of(the_text(), [(c, c) for c in t.PAGE_CITIES] + t.PAGE_TAGS, "劳动争议")).alias("tag"))
 
 
 @query("t38_evidence_names", f"WITH {TEXTS}, m AS (SELECT regexp_extract(text, pattern) AS word FROM texts, {_rule_table(t.EVIDENCE)}), n AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(word, {_lit(p)}) THEN {_lit(n)}" for n, p in t.EVIDENCE_NAMES) + " ELSE trim(word) END AS name FROM m WHERE word <> '') SELECT name, count(*) AS n FROM n GROUP BY name")
 def t38(spark: SparkSession, d: str) -> DataFrame:
     """Evidence under common names."""
     words = F.array_compact(F.array(*(rules.first_match(the_text(), r.patterns[0]) for r in t.EVIDENCE)))
-    found = award_texts(spark, d).select(F.explode(words).alias("word"))
+    found = awards(spark, d).select(F.explode(words).alias("word"))
     return found.groupBy(rules.first_name(F.col("word"), t.EVIDENCE_NAMES, F.trim("word")).alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -612,7 +625,7 @@ _DATE = "'([0-9]{4})[-/年.]([0-9]{1,2})[-/月.]([0-9]{1,2})'"
 
 @query("m01_calendar_dates", f"WITH {TEXTS} SELECT case_id, CASE WHEN year(TRY_CAST(regexp_extract(text, {_DATE}, 1) || '-' || lpad(regexp_extract(text, {_DATE}, 2), 2, '0') || '-' || lpad(regexp_extract(text, {_DATE}, 3), 2, '0') AS DATE)) BETWEEN 1900 AND 2100 THEN TRY_CAST(regexp_extract(text, {_DATE}, 1) || '-' || lpad(regexp_extract(text, {_DATE}, 2), 2, '0') || '-' || lpad(regexp_extract(text, {_DATE}, 3), 2, '0') AS DATE) END::VARCHAR AS date FROM texts")
 def m01(spark: SparkSession, d: str) -> DataFrame:
-    return award_texts(spark, d).select("case_id", dates.calendar_date(the_text()).cast("string").alias("date"))
+    return awards(spark, d).select("case_id", dates.calendar_date(the_text()).cast("string").alias("date"))
 
 
 _HAN = ["二〇二三年八月十五日", "二〇二一年十月三十一日", "二〇二二年十二月九日", "2020年2月3日", "二〇一九年二十月三日", "无日期"]
@@ -622,22 +635,22 @@ _HAN = ["二〇二三年八月十五日", "二〇二一年十月三十一日", "
 def m02(spark: SparkSession, d: str) -> DataFrame:
     """Dates in Chinese numerals; one that the calendar lacks is empty."""
     text = F.get(F.array(*map(F.lit, _HAN)), (F.col("case_id") % len(_HAN)).cast("int"))
-    return award_texts(spark, d).select("case_id", F.coalesce(dates.chinese_date(text).cast("string"), F.lit("")).alias("date"))
+    return awards(spark, d).select("case_id", F.coalesce(dates.chinese_date(text).cast("string"), F.lit("")).alias("date"))
 
 
 @query("m03_amounts", f"WITH {TEXTS} SELECT case_id, TRY_CAST(replace(regexp_extract(text, {_lit(AMOUNT)}, 1), ',', '') AS DOUBLE) AS first, len(regexp_extract_all(text, {_lit(AMOUNT)})) AS n, TRY_CAST(replace(regexp_extract(text, {_lit('(?:请求|主张|要求)[^。；;]*?' + AMOUNT)}, 1), ',', '') AS DOUBLE) AS asked, TRY_CAST(replace(regexp_extract({_DECIDED}, {_lit('(?:支付|支持|补缴|补发|判付)[^。；;]*?' + AMOUNT)}, 1), ',', '') AS DOUBLE) AS awarded FROM texts")
 def m03(spark: SparkSession, d: str) -> DataFrame:
     """First amount, number of amounts, amount asked and amount awarded."""
     number = lambda text, before="": F.replace(F.regexp_extract(text, before + AMOUNT, 1), F.lit(","), F.lit("")).try_cast("double")
-    decided = F.coalesce(F.nullif(section("decision"), F.lit("")), the_text())
-    return award_texts(spark, d).select("case_id", number(the_text()).alias("first"), F.regexp_count(the_text(), F.lit(AMOUNT)).cast("long").alias("n"), number(the_text(), "(?:请求|主张|要求)[^。；;]*?").alias("asked"), number(decided, "(?:支付|支持|补缴|补发|判付)[^。；;]*?").alias("awarded"))
+    decided = F.col("decided")
+    return awards(spark, d).select("case_id", number(the_text()).alias("first"), F.regexp_count(the_text(), F.lit(AMOUNT)).cast("long").alias("n"), number(the_text(), "(?:请求|主张|要求)[^。；;]*?").alias("asked"), number(decided, "(?:支付|支持|补缴|补发|判付)[^。；;]*?").alias("awarded"))
 
 
 @query("m04_amount_outcome", f"WITH {TEXTS}, s AS (SELECT case_id, amount AS asked, TRY_CAST(replace(regexp_extract({_DECIDED}, {_lit(AMOUNT)}, 1), ',', '') AS DOUBLE) AS awarded FROM texts) SELECT case_id, CASE WHEN asked IS NULL OR awarded IS NULL OR asked <= 0 THEN 'unclear' WHEN awarded <= 0 THEN 'not_supported' WHEN awarded >= asked THEN 'supported' ELSE 'partially_supported' END AS outcome FROM s")
 def m04(spark: SparkSession, d: str) -> DataFrame:
-    decided = F.coalesce(F.nullif(section("decision"), F.lit("")), the_text())
+    decided = F.col("decided")
     awarded = F.replace(F.regexp_extract(decided, AMOUNT, 1), F.lit(","), F.lit("")).try_cast("double")
-    return award_texts(spark, d).select("case_id", dates.amount_outcome(F.col("amount"), awarded).alias("outcome"))
+    return awards(spark, d).select("case_id", dates.amount_outcome(F.col("amount"), awarded).alias("outcome"))
 
 
 _ORDERED_PAY = "'(?:支付|赔偿|补偿)[一-龥\\s]*?([0-9]+(?:\\.[0-9]+)?)\\s*元'"
@@ -646,9 +659,9 @@ _ORDERED_PAY = "'(?:支付|赔偿|补偿)[一-龥\\s]*?([0-9]+(?:\\.[0-9]+)?)\\s
 @query("m05_total_awarded", f"WITH {TEXTS} SELECT case_id, nullif(round(list_sum(list_filter(list_transform(regexp_extract_all({_DECIDED}, {_ORDERED_PAY}, 1), lambda x: x::DOUBLE), lambda x: x < 5000000)), 2), 0) AS total FROM texts")
 def m05(spark: SparkSession, d: str) -> DataFrame:
     """Sum of the amounts below five million that a decision orders to pay; null if there is none."""
-    decided = F.coalesce(F.nullif(section("decision"), F.lit("")), the_text())
+    decided = F.col("decided")
     found = F.filter(F.transform(F.regexp_extract_all(decided, F.lit("(?:支付|赔偿|补偿)[一-龥\\s]*?([0-9]+(?:\\.[0-9]+)?)\\s*元"), F.lit(1)), lambda x: x.cast("double")), lambda x: x < 5000000)
-    return award_texts(spark, d).select("case_id", F.nullif(F.round(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), 2), F.lit(0.0)).alias("total"))
+    return awards(spark, d).select("case_id", F.nullif(F.round(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), 2), F.lit(0.0)).alias("total"))
 
 
 _WEIGHTS = [("case_number", 15), ("date", 10), ("committee", 10), ("parties", 15), ("claims", 15), ("facts", 10), ("reasoning", 15), ("decision", 10)]
@@ -662,7 +675,7 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("case_id")
     some = lambda name: F.coalesce(section(name), F.lit("")) != ""
     have = {"case_number": the_text().rlike(t.CASE_NUMBER), "date": k % 5 != 0, "committee": the_text().rlike(t.COMMITTEE), "parties": F.contains(the_text(), F.lit("申请人：")), "claims": some("claims"), "facts": k % 7 != 0, "reasoning": k % 3 != 0, "decision": some("decision")}
-    f = award_texts(spark, d).select("case_id", *(c.alias(n) for n, c in have.items()))
+    f = awards(spark, d).select("case_id", *(c.alias(n) for n, c in have.items()))
     score = sum((F.when(F.col(n), w).otherwise(0) for n, w in _WEIGHTS), F.lit(0))
     missing = F.array_join(F.array_compact(F.array(*(F.when(~F.col(n), F.lit(n)) for n, _ in _WEIGHTS))), ",")
     return f.select("case_id", score.alias("score"), missing.alias("missing")).withColumn("status", F.when(F.col("score") >= 75, "success").when(F.col("score") >= 40, "partial").otherwise("failed"))
@@ -679,5 +692,5 @@ def m13(spark: SparkSession, d: str) -> DataFrame:
         "defense": [rules.has_any(the_text(), "旷工 离职 加班 考核")], "evidence": [rules.has_any(the_text(), "考勤 工资表 录音")], "reasoning": [rules.has_any(the_text(), "举证 程序 采信")],
     }
     score = sum((w * sum((c.cast("int") for c in checks[n]), F.lit(0)) / len(checks[n]) for n, w in _CATEGORIES), F.lit(0.0))
-    out = award_texts(spark, d).select("case_id", F.round(score, 1).alias("score"))
+    out = awards(spark, d).select("case_id", F.round(score, 1).alias("score"))
     return out.withColumn("grade", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").otherwise("D"))

@@ -178,11 +178,11 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("case_id", "claim_id", F.when(F.col("asked").isNull(), "amount").otherwise("outcome").alias("category"))
 
 
-@query("f15_run_list", "SELECT o_orderkey AS run_id FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")
+@query("f15_run_list", "SELECT o_orderkey AS run_id FROM orders WHERE o_custkey < 100 AND o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     from verdigris.operators.filters import facets
 
-    return facets(table(spark, d, "orders"), equal={"o_custkey": 7, "o_orderstatus": "F", "o_orderpriority": "5-LOW", "o_clerk": None}).select(F.col("o_orderkey").alias("run_id"))
+    return facets(table(spark, d, "orders").where("o_custkey < 100"), equal={"o_orderstatus": "F", "o_orderpriority": "5-LOW", "o_clerk": None}).select(F.col("o_orderkey").alias("run_id"))
 
 
 @query("j15_party_resolution", f"WITH {CLAIMS}, p AS (SELECT case_id, role, min(claim_id) FILTER (WHERE provider = 'court') AS exact, min(claim_id) AS any_one FROM claims GROUP BY case_id, role) SELECT c.case_id, c.claim_id, coalesce(exact, any_one) AS party FROM claims c JOIN p USING (case_id, role)")
