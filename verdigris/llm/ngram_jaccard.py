@@ -39,6 +39,8 @@ from verdigris.llm.shingles import WordHashes, mix, shingle_set
 
 #: Nodes of a block, when a key has more.
 BLOCK = 4000
+#: Bytes up to which the list of wanted texts (40 each) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
 _HASHES = WordHashes()
 
 
@@ -272,8 +274,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left = nodes.join(keys.select("node"), "node", "left_semi")
     prefixes = materialise(left.select("node", "n", "p", "q"))
     # whole sets of the nodes that are left, from the text of one row each: found by id and text, so rows without id don't meet each other
-    # (a table of its own, so that Spark knows its true size and sends it to the texts where it is small)
+    # (a table of its own, so that its size is known: the list goes to the texts unless it is large)
     wanted = materialise(left.select("node", F.col("source.doc_id").alias("w"), F.col("source.h").alias("h"), F.col("source.i").alias("i")))
+    if 40 * wanted.count() <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w"]) & (rows["h"] == wanted["h"]) & (rows["i"] == wanted["i"])).select("node", _whole(F.col("text"), words).alias("x"))
     sets = materialise(texts.select("node", "x.s", "x.k").dropDuplicates(["node"]))
     linked = connected(_links(keys, prefixes, sets, percent))
