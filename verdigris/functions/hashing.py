@@ -66,3 +66,9 @@ def shuffled(ids: list[str], seed: str) -> list[str]:
 def stratum_seed(global_seed: str, stratum_key: str, algorithm: str) -> str:
     raw = json.dumps({"algorithmVersion": algorithm, "globalSeed": global_seed, "stratumKey": stratum_key}, separators=(",", ":"), ensure_ascii=False)
     return "stratum-seed-v1:" + sha256(raw)
+
+
+def seed_of_stratum(global_seed: str, stratum: Column, algorithm: str) -> Column:
+    """stratum_seed for a column of keys."""
+    fields = F.to_json(F.struct(F.lit(algorithm).alias("algorithmVersion"), F.lit(global_seed).alias("globalSeed"), stratum.alias("stratumKey")))
+    return F.concat(F.lit("stratum-seed-v1:"), F.sha2(fields, 256))

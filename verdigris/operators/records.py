@@ -24,7 +24,7 @@ def confidence(status: Column, score: Column) -> Column:
 def authoritative_date(source: Column, meta: Column, text: Column) -> Column:
     """The first valid date: of the metadata first where the source keeps good ones, of the text first otherwise."""
     a, b = calendar_date(meta), calendar_date(text)
-    return F.when(source == "laborinfo", F.coalesce(a, b)).otherwise(F.coalesce(b, a))
+    return F.when(source == "registry", F.coalesce(a, b)).otherwise(F.coalesce(b, a))
 
 
 def in_analysis_set(status: Column, score: Column) -> Column:

@@ -1,5 +1,5 @@
 """All queries; importing the package registers them."""
 
-from verdigris.plans import aggregates, imports, joins, legal, records, runs, sampling, scans, text, windows
+from verdigris.plans import aggregates, imports, joins, legal, records, runs, sampling, scans, tasks, text, windows
 
-__all__ = ["aggregates", "imports", "joins", "legal", "records", "runs", "sampling", "scans", "text", "windows"]
+__all__ = ["aggregates", "imports", "joins", "legal", "records", "runs", "sampling", "scans", "tasks", "text", "windows"]

@@ -16,7 +16,7 @@ _CLASH = lambda new, other: f"({new} IN ('supported', 'not_supported') AND {new}
 _ONE = lambda new, old, other: f"CASE WHEN {new} IS NOT NULL AND {old} = 'unclear' AND NOT {_CLASH(new, other)} THEN {new} ELSE {old} END"
 _BOTH = "new_employee IS NOT NULL AND new_employer IS NOT NULL"
 RECORDS = f"""{PARSED}, {REVIEWS}, records AS (SELECT case_id, coalesce(new_outcome, outcome) AS outcome, CASE WHEN {_BOTH} THEN new_employee ELSE {_ONE("new_employee", "employee", "employer")} END AS employee, CASE WHEN {_BOTH} THEN new_employer ELSE {_ONE("new_employer", "employer", "employee")} END AS employer,
- CASE WHEN len(new_kinds) > 0 THEN new_kinds ELSE kinds END AS kinds, CASE WHEN source = 'laborinfo' THEN coalesce({_VALID("meta_date")}, {_VALID("text_date")}) ELSE coalesce({_VALID("text_date")}, {_VALID("meta_date")}) END AS date,
+ CASE WHEN len(new_kinds) > 0 THEN new_kinds ELSE kinds END AS kinds, CASE WHEN source = 'registry' THEN coalesce({_VALID("meta_date")}, {_VALID("text_date")}) ELSE coalesce({_VALID("text_date")}, {_VALID("meta_date")}) END AS date,
  CASE WHEN status = 'approved' THEN 1.0 WHEN status = 'modified' THEN 0.95 ELSE least(greatest(round(score * 0.009, 2), 0.4), 0.92) END::DOUBLE AS confidence, coalesce(status = 'approved', false) OR score >= 80 AS included, CASE WHEN NOT (coalesce(status = 'approved', false) OR score >= 80) THEN 'score_below_80' END AS filter_reason, status IS NOT NULL AS has_review, score, role
  FROM parsed LEFT JOIN reviews USING (case_id))"""
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +24,14 @@ def csv_lines(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFram
 
 
 def write_csv(df: DataFrame, columns: dict[str, Column], path: str) -> None:
-    """A folder of CSV files with carriage returns, each with a byte order mark and the header, as spreadsheets expect."""
-    named = df.select(*(F.regexp_replace(c.cast("string"), "\n", " ").alias((BOM if k == 0 else "") + n) for k, (n, c) in enumerate(columns.items())))
-    named.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", '""').option("lineSep", "\r\n").csv(path)
+    """A folder of CSV files with carriage returns, each with a byte order mark and the header first, as spreadsheets expect."""
+    header = BOM + ",".join('"' + n.replace('"', '""') + '"' for n in columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in itertools.chain([[header]], (batch.column(0).to_pylist() for batch in batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    csv_lines(df, columns).mapInArrow(headed, "line string").write.option("lineSep", "\r\n").text(path)
 
 
 def json_lines(df: DataFrame, *keep: str) -> DataFrame:

@@ -26,7 +26,7 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") % 101).cast("int").alias("score"), role.alias("role"), applicant.alias("outcome"), side("employee").alias("employee"), side("employer").alias("employer"),
-        _pick(["laborinfo", "upload"], 1).alias("source"), F.when(F.col("o_orderkey") % 5 != 0, day).alias("meta_date"), F.when(F.col("o_orderkey") % 7 == 0, "2023-02-31").when(F.col("o_orderkey") % 11 != 0, F.concat(F.substring(day, 1, 8), F.lit("01"))).alias("text_date"),
+        _pick(["registry", "upload"], 1).alias("source"), F.when(F.col("o_orderkey") % 5 != 0, day).alias("meta_date"), F.when(F.col("o_orderkey") % 7 == 0, "2023-02-31").when(F.col("o_orderkey") % 11 != 0, F.concat(F.substring(day, 1, 8), F.lit("01"))).alias("text_date"),
         F.array(F.substring("o_orderpriority", 3, 20)).alias("kinds"), F.col("o_custkey").alias("party"), F.col("o_totalprice").alias("amount"),
     )
 
@@ -53,7 +53,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 _ROLE, _OUT = _sql(["employee", "employer", "employee", "unknown"], 2), _sql(OUTCOMES, 3)
 PARSED = f"""p0 AS (SELECT *, {_ROLE} AS role, {_OUT} AS outcome, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
  parsed AS (SELECT o_orderkey AS case_id, (o_orderkey % 101)::INTEGER AS score, role, outcome, CASE WHEN role = 'unknown' OR outcome = 'unclear' THEN 'unclear' WHEN role = 'employee' OR outcome = 'partially_supported' THEN outcome WHEN outcome = 'supported' THEN 'not_supported' ELSE 'supported' END AS employee,
- CASE WHEN role = 'unknown' OR outcome = 'unclear' THEN 'unclear' WHEN role = 'employer' OR outcome = 'partially_supported' THEN outcome WHEN outcome = 'supported' THEN 'not_supported' ELSE 'supported' END AS employer, {_sql(["laborinfo", "upload"], 1)} AS source, CASE WHEN o_orderkey % 5 <> 0 THEN day END AS meta_date,
+ CASE WHEN role = 'unknown' OR outcome = 'unclear' THEN 'unclear' WHEN role = 'employer' OR outcome = 'partially_supported' THEN outcome WHEN outcome = 'supported' THEN 'not_supported' ELSE 'supported' END AS employer, {_sql(["registry", "upload"], 1)} AS source, CASE WHEN o_orderkey % 5 <> 0 THEN day END AS meta_date,
  CASE WHEN o_orderkey % 7 = 0 THEN '2023-02-31' WHEN o_orderkey % 11 <> 0 THEN substring(day, 1, 8) || '01' END AS text_date, [substring(o_orderpriority, 3)] AS kinds, o_custkey AS party, o_totalprice AS amount FROM p0)"""
 REVIEWS = f"""reviews AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 8 = 0 THEN 'approved' ELSE 'modified' END AS status, CASE WHEN o_orderkey % 12 = 0 THEN {_sql(OUTCOMES, 5)} END AS new_outcome, CASE WHEN o_orderkey % 20 = 0 THEN 'not_supported' END AS new_employee,
  CASE WHEN o_orderkey % 40 = 0 THEN 'supported' END AS new_employer, CASE WHEN o_orderkey % 16 = 0 THEN ['REVIEWED'] ELSE [] END AS new_kinds FROM orders WHERE o_orderkey % 4 = 0)"""

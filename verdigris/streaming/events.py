@@ -23,3 +23,26 @@ def sessions(events: DataFrame, gap: str, *, late: str | None = None) -> DataFra
         rows = rows.withWatermark("ts", late)
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def running_counters(events: DataFrame) -> DataFrame:
+    """user_id, n, errors, last: counters by user; on a stream in update mode each batch gives the users that changed."""
+    out = events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("last"))
+    return out.select("user_id", "n", "errors", "last")
+
+
+def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """The first event of each key; on a stream a key is remembered for as long as late events may come."""
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def within_before(later: DataFrame, earlier: DataFrame, key: str, length: str, *, late: str | None = None) -> DataFrame:
+    """Each later event with the earlier ones of its key within a length of time before it (its own time included): event_id, earlier_id."""
+    a = later.select("event_id", F.col(key).alias("k"), F.col("ts").cast("timestamp").alias("t"))
+    b = earlier.select(F.col("event_id").alias("earlier_id"), F.col(key).alias("k2"), F.col("ts").cast("timestamp").alias("t2"))
+    if late:
+        a, b = a.withWatermark("t", late), b.withWatermark("t2", late)
+    near = (F.col("t2") <= F.col("t")) & (F.col("t2") > F.col("t") - F.expr(f"INTERVAL {length}"))
+    return a.join(b, (F.col("k") == F.col("k2")) & near).select("event_id", "earlier_id")
