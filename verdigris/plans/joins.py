@@ -114,6 +114,26 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("support_rate", percent(F.col("supported"), F.col("cases"), none=0.0)).orderBy(F.desc("supported"), "a", "b").limit(5)
 
 
+@query(
+    "a10_combinations_of_all_sizes",
+    f"""WITH {CASES}, {ITEMS}, k AS (SELECT DISTINCT case_id, kind FROM items), c AS (SELECT case_id, 1 AS size, kind AS combo FROM k UNION ALL SELECT x.case_id, 2, x.kind || ' + ' || y.kind FROM k x JOIN k y ON x.case_id = y.case_id AND x.kind < y.kind
+    UNION ALL SELECT x.case_id, 3, x.kind || ' + ' || y.kind || ' + ' || z.kind FROM k x JOIN k y ON x.case_id = y.case_id AND x.kind < y.kind JOIN k z ON z.case_id = x.case_id AND y.kind < z.kind),
+    s AS (SELECT size, combo, count(*) AS cases, count(*) FILTER (WHERE outcome = 'supported') AS supported, count(*) FILTER (WHERE outcome <> 'unclear') AS known FROM c JOIN cases USING (case_id) GROUP BY size, combo)
+    SELECT *, CASE WHEN known > 0 THEN round(supported::DOUBLE / known * 100, 1) END AS rate FROM s""",
+)
+def a10_all(spark: SparkSession, d: str) -> DataFrame:
+    """Single kinds, pairs and triples of a case's kinds, made from its own sorted list in one pass."""
+    own = case_items(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_set("kind")).alias("x"))
+    joined = lambda *p: F.concat_ws(" + ", *p)
+    after = lambda i: F.slice("x", i + 2, F.greatest(F.size("x") - i - 1, F.lit(0)))
+    one = F.transform("x", lambda a: F.struct(F.lit(1).alias("size"), a.alias("combo")))
+    two = F.flatten(F.transform("x", lambda a, i: F.transform(after(i), lambda b: F.struct(F.lit(2).alias("size"), joined(a, b).alias("combo")))))
+    three = F.flatten(F.transform("x", lambda a, i: F.flatten(F.transform(after(i), lambda b, j: F.transform(after(i + j + 1), lambda c: F.struct(F.lit(3).alias("size"), joined(a, b, c).alias("combo")))))))
+    rows = own.select("case_id", F.explode(F.concat(one, two, three)).alias("c")).join(cases(spark, d).select("case_id", "outcome"), "case_id")
+    out = rows.groupBy("c.size", "c.combo").agg(F.count("*").alias("cases"), F.count_if(F.col("outcome") == "supported").alias("supported"), F.count_if(F.col("outcome") != "unclear").alias("known"))
+    return out.withColumn("rate", percent(F.col("supported"), F.col("known")))
+
+
 @query(
     "j11_within_row_product",
     f"WITH {ITEMS}, k AS (SELECT DISTINCT case_id, kind FROM items), b AS (SELECT DISTINCT case_id, brand FROM items) SELECT kind, brand, count(*) AS n FROM k JOIN b USING (case_id) GROUP BY kind, brand",
