@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,20 @@ def test_ingestion_keeps_keys_unique_and_resumes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         ingest.ingest(ingest.read_files(spark, source, schema), target, checkpoint, key=["id"], hash_of="text").awaitTermination()
     assert sorted((r["id"], r["text"]) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "b"), (4, "d")]
+
+
+def test_stretches_of_a_key_equal_the_whole_key(spark):
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, None, float(k)]), rnd.random() < 0.15) for k in range(300)]
+    df = spark.createDataFrame(rows, "i long, k int, v double, b boolean")
+    got = {r["i"]: r["carried"] for r in keyed.carry_forward(df, "k", "i", "v", F.col("b"), bucket=F.floor(F.col("i") / 7)).collect()}
+    number = {r["i"]: r["attempt"] for r in keyed.attempts(df, "k", "i", bucket=F.floor(F.col("i") / 7)).collect()}
+    state, seen = {}, {}
+    for i, k, v, b in rows:
+        if b:
+            state[k] = None
+        if v is not None:
+            state[k] = v
+        seen[k] = seen.get(k, 0) + 1
+        assert got[i] == state.get(k) and number[i] == seen[k], i
+    assert keyed.attempts(df.limit(0), "k", "i", bucket=F.col("i")).count() == 0

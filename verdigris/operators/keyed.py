@@ -28,17 +28,39 @@ def first_n(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("position") <= n)
 
 
-def attempts(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Number of each row within its key."""
-    return df.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def attempts(df: DataFrame, key: str, *order: str, bucket: Column) -> DataFrame:
+    """Number of each row within its key, in order.
+
+    ``bucket`` cuts a key's rows into stretches and must not fall along the
+    order, as a day does for times.  Rows are numbered within a stretch, after
+    the counts of the stretches before it, so no task holds a whole key.
+    """
+    rows = df.withColumn("_b", bucket)
+    counts = rows.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), before.alias("_before"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)))
+    out = numbered.join(offsets, numbered[key].eqNullSafe(offsets["_k"]) & numbered["_b"].eqNullSafe(offsets["_c"]))
+    return out.select(*df.columns, (F.col("_before") + F.col("_i")).cast("int").alias("attempt"))
 
 
-def carry_forward(df: DataFrame, key: str, order: str, value: str, breaks: Column) -> DataFrame:
-    """value, or the last one before it in the key since the last row where ``breaks`` holds."""
-    w = Window.partitionBy(key).orderBy(order)
-    parts = df.withColumn("_part", F.sum(breaks.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn("carried", F.last(value, ignorenulls=True).over(inner)).drop("_part")
+def carry_forward(df: DataFrame, key: str, order: str, value: str, breaks: Column, *, bucket: Column) -> DataFrame:
+    """value, or the last one before it in the key since the last row where ``breaks`` holds, as carried.
+
+    ``bucket`` cuts a key's rows into stretches along the order.  What a stretch
+    hands on is one row (whether it has a break, and the last value after it), so
+    only these are brought in order for a whole key.
+    """
+    rows = df.withColumn("_b", bucket).withColumn("_break", breaks)
+    w = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_part", F.sum(F.col("_break").cast("int")).over(w))
+    rows = rows.withColumn("_own", F.last(value, ignorenulls=True).over(Window.partitionBy(key, "_b", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    tail = rows.groupBy(key, "_b").agg(F.max("_part").alias("_breaks"), F.max_by(F.struct("_own"), F.struct("_part", order)).alias("_tail"))
+    tail = tail.select(key, "_b", F.col("_tail._own").alias("_v"), F.sum((F.col("_breaks") > 0).cast("int")).over(Window.partitionBy(key).orderBy("_b")).alias("_part"))
+    tail = tail.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy(key, "_part").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    handed = tail.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.lag("_v").over(Window.partitionBy(key).orderBy("_b")).alias("_in"))
+    out = rows.join(handed, rows[key].eqNullSafe(handed["_k"]) & rows["_b"].eqNullSafe(handed["_c"]))
+    return out.select(*df.columns, F.coalesce("_own", F.when(F.col("_part") == 0, F.col("_in"))).alias("carried"))
 
 
 def merge_last(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:

@@ -18,7 +18,7 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w02_attempts", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS attempt FROM events WHERE event_type = 'error'")
 def w02(spark: SparkSession, d: str) -> DataFrame:
-    return keyed.attempts(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "event_id").select("event_id", "attempt")
+    return keyed.attempts(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", bucket=F.to_date("ts")).select("event_id", "attempt")
 
 
 @query(
@@ -29,7 +29,7 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
 def w03(spark: SparkSession, d: str) -> DataFrame:
     """The last purchase's value since the last signup."""
     rows = table(spark, d, "events").withColumn("v", F.when(F.col("event_type") == "purchase", F.col("value")))
-    return keyed.carry_forward(rows, "user_id", "event_id", "v", F.col("event_type") == "signup").select("event_id", "carried")
+    return keyed.carry_forward(rows, "user_id", "event_id", "v", F.col("event_type") == "signup", bucket=F.floor(F.col("event_id") / 1000)).select("event_id", "carried")
 
 
 @query("w05_first_n", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS position FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5")
