@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.shingles import mix
+from verdigris.llm.shingles import WordHashes, mix, windows
 
 ORDER = 5
 #: Shards of a model, and bytes of shards that executors get at once.
@@ -44,6 +44,7 @@ CHUNK, HELD = 1_000_000, 2_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(ORDER)], np.uint64)
 _PAD = np.full(ORDER - 1, 10, np.uint32)
 _LETTERS: list[np.ndarray] = []
+_HASHES = WordHashes()
 
 
 def codes(text: str) -> np.ndarray:
@@ -82,6 +83,14 @@ def longest(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _hash(total[at - ORDER + 1], ORDER)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, a place of each, how often each is found, and all places in the order of their hashes."""
+    order = np.argsort(h)
+    in_order = h[order]
+    starts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return in_order[starts], order[starts], np.diff(np.r_[starts, len(h)]), order
+
+
 def hashes_at(flat: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Hashes of the n-grams that end at the places, for n of 1 to ORDER, and of those that end before them, up to one less."""
     out: tuple[list, list] = ([], [])
@@ -112,21 +121,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def count(model: tuple) -> None:
             flat, at = padded(waiting.pop(model))
-            mine = longest(flat, at)
-            h, c = np.unique(mine, return_counts=True)
+            h, one, c, _ = distinct(longest(flat, at))
             known, grams, old = sums.get(model, (np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.int64)))
             place, hit = _find(known, h)
             old = old.copy()
             old[place[hit]] += c[hit]
-            fresh, new_counts = h[~hit], c[~hit]
-            if len(fresh):  # their characters, from where each is found
-                place, hit = _find(fresh, mine)
-                where = np.zeros(len(fresh), np.int64)
-                where[place[hit]] = at[hit]
+            fresh = np.flatnonzero(~hit)
+            if len(fresh):  # their characters, from a place of each
                 whole = flat.astype("<u4").tobytes().decode("utf-32-le")
                 more = np.empty(len(fresh), object)
-                more[:] = [whole[i - ORDER + 1 : i + 1] for i in where.tolist()]
-                known, grams, old = np.r_[known, fresh], np.r_[grams, more], np.r_[old, new_counts]
+                more[:] = [whole[i - ORDER + 1 : i + 1] for i in at[one[fresh]].tolist()]
+                known, grams, old = np.r_[known, h[fresh]], np.r_[grams, more], np.r_[old, c[fresh]]
                 order = np.argsort(known)
                 known, grams, old = known[order], grams[order], old[order]
             sums[model] = (known, grams, old)
@@ -258,13 +263,13 @@ class Model:
         flat, at = padded(parts)
         if not len(at):
             return np.zeros(len(parts))
-        _, first, place = np.unique(longest(flat, at), return_index=True, return_inverse=True)
+        _, first, count, order = distinct(longest(flat, at))
         one = at[first]
         mine = self.shards[(flat[one - 1] % np.uint64(SHARDS)).astype(np.int64)]
         log_p = np.zeros(len(one))
         log_p[mine] = self.log_p(*hashes_at(flat, one[mine]))
         doc = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        return -np.bincount(doc, weights=log_p[place], minlength=len(parts))
+        return -np.bincount(doc[order], weights=np.repeat(log_p, count), minlength=len(parts))
 
 
 def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,25 +355,17 @@ def log_perplexity(docs: DataFrame, arrays: DataFrame, more: list[Column], mater
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words in windows of width words that are found twice or more in the text; all occurrences count."""
-    n = len(words) - width + 1
-    if n < 2:
-        return 0
-    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    if len(number) == len(words):
+    h = windows(_HASHES.of(words), width)
+    if len(h) < 2:
         return 0
-    rank = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    have = 1
-    while have < width:  # windows of twice as many words, numbered alike if they are alike
-        step = min(have, width - have)
-        pairs = rank[: len(rank) - step] * (len(words) + 1) + rank[step:]
-        rank = np.unique(pairs, return_inverse=True)[1]
-        have += step
-    twice = np.bincount(rank)[rank] > 1
-    if not twice.any():
+    in_order = np.sort(h)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
+    if not len(twice):
         return 0
+    starts = np.flatnonzero(np.isin(h, twice))
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(twice), 1)
-    np.add.at(edge, np.flatnonzero(twice) + width, -1)
+    edge[starts] += 1
+    edge[starts + width] -= 1
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
