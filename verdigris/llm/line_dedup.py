@@ -4,9 +4,10 @@ Normalised lines are exploded and hashed, the distinct documents of each hash
 are counted, and the lines of hashes found in many documents are dropped; what
 is left is reassembled by position.
 
-Only hashes are shuffled for counting (map-side combined, so a line that a third
-of all documents share is one row per task), and the join that finds a
-document's dropped positions moves hashes and positions, never text.
+Only hashes are shuffled for counting: a row for each line of a document, spread
+by line and document before documents are counted, so that a line which a third
+of all documents share lies in no single task.  The join that finds a document's
+dropped positions moves hashes and positions, never text.
 """
 
 from __future__ import annotations

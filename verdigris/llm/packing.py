@@ -30,7 +30,7 @@ GAP = 256
 #: Tokens after which a block ends with its document.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 _MARKS = b".,;:!?*&%#$|"
 _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"')
 

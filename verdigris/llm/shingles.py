@@ -7,7 +7,7 @@ import xxhash
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hashes a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 class WordHashes(dict):
