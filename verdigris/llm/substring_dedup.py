@@ -9,8 +9,11 @@ reference for all later ones, so the reference is the corpus itself:
 2. The anchors found more than once set bits of a bitmap of bounded size.  It
    only spares work: a bit set by chance adds windows to the next step and
    changes no result.
-3. The windows whose anchor's bit is set are grouped by their hash and the first
-   place of each is found, partial minima before the shuffle.
+3. The windows whose anchor's bit is set are brought together by ranges of their
+   hash, and the first place of each is found.  A batch sends a window once, and
+   all it has for a range as one row of byte planes, which compress well; there
+   are as many ranges as keep one small.  (Where ranges outnumber the windows of
+   a batch, a row holds a single window.)
 4. Each document gets the list of its windows that are first, and loses the
    words of its other windows.
 
@@ -34,6 +37,8 @@ _HASHES = WordHashes()
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Bits of the bitmap: so many for each repeated anchor, within these powers of two.
 BITS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 16, 16, 28
+#: Windows of a hash range about, and ranges at least, as a power of two.
+RANGE_WINDOWS, LEAST_RANGES = 500_000, 6
 #: Words of a reference shard, and of all shards of remove_reference.
 SHARD_WORDS, REFERENCE_WORDS = 200_000, 2_000_000
 
@@ -79,16 +84,46 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors found more than once; at most 2 ** MOST_BITS bits come to the driver, whatever the input."""
-    repeated = materialise(anchors.where("c > 1").select("h"))
-    bits = max(LEAST_BITS, min(MOST_BITS, int(BITS_PER_ANCHOR * repeated.count()).bit_length()))
+def _bitmap(anchors: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the anchors found more than once, and how often these are found in all; at most 2 ** MOST_BITS bits come to the driver, whatever the input."""
+    repeated = materialise(anchors.where("c > 1"))
+    count, places = repeated.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    bits = max(LEAST_BITS, min(MOST_BITS, int(BITS_PER_ANCHOR * count).bit_length()))
     place = F.shiftrightunsigned("h", 64 - bits)
     rows = repeated.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
     out = np.zeros(1 << (bits - 6), np.uint64)
     got = rows.toArrow()
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+    return out, places
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, the first of all numbers first."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _of_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_WINDOW = {"w": np.uint64, "v": np.int32, "place": np.int64, "start": np.int32}
+
+
+def _firsts(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of windows (w, v, place, start) the first of each, in the order of w."""
+    w, v, place, start = columns
+    order = np.lexsort((start, place, v, w))
+    w, v = w[order], v[order]
+    first = order[np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])]] if len(w) else order
+    return [c[first] for c in columns]
+
+
+def _first_places(table: pa.Table) -> pa.Table:
+    """place, start of the windows of a hash range that are found there first."""
+    columns = [np.concatenate([_of_planes(x.as_buffer(), kind) for x in table[name]]) for name, kind in _WINDOW.items()]
+    _, _, place, start = _firsts(columns)
+    return pa.table({"place": pa.array(place), "start": pa.array(start)})
 
 
 def _hit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -118,28 +153,32 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     last = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), last).alias("place"), F.col(text_col).alias("text"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(_anchors(rows, window)))
+    bits, places = _bitmap(_anchors(rows, window))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bits)
+    # an anchor stands for half of the windows that can hold it, on average
+    ranges = max(LEAST_RANGES, int(places * (window - window // 2 + 2) // 2 // RANGE_WINDOWS).bit_length())
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                w, v, d, s = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for k in range(0, batch.num_rows, 4000):
+                part = batch.slice(k, 4000)
+                found: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in _WINDOW.values()]
                 for place, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     words = split(text.as_py())
                     starts, own = _suspects(words, window, bitmap.value)
                     if len(starts):
-                        own, first = np.unique(own, return_index=True)  # in its own document a window is first once
-                        starts = starts[first]
-                        w.append(own)
-                        v.append(_check(words, window)[starts])
-                        d.append(np.full(len(own), place, np.int64))
-                        s.append(starts.astype(np.int32))
-                w, v, d, s = map(np.concatenate, (w, v, d, s))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v), pa.array(d), pa.array(s)], names=["w", "v", "place", "start"])
-
-    seen = rows.select("place", "text").mapInArrow(suspects, "w long, v int, place long, start int")
-    first = seen.groupBy("w", "v").agg(F.min("place").alias("place"), F.min_by("start", "place").alias("start"))
+                        for held, x in zip(found, (own, _check(words, window)[starts], np.full(len(own), place, np.int64), starts.astype(np.int32)), strict=True):
+                            held.append(x)
+                columns = _firsts([np.concatenate(x) for x in found])
+                if len(columns[0]):
+                    at = (columns[0] >> np.uint64(64 - ranges)).astype(np.int64)
+                    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    ends = np.r_[cuts[1:], len(at)]
+                    parts = [pa.array([_planes(np.ascontiguousarray(c[i:j])) for i, j in zip(cuts, ends, strict=True)], pa.binary()) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[cuts], pa.int64()), *parts], names=["range", *_WINDOW])
+
+    seen = rows.select("place", "text").mapInArrow(suspects, "range long, w binary, v binary, place binary, start binary")
+    first = seen.groupBy("range").applyInArrow(_first_places, "place long, start int")
     first = first.groupBy("place").agg(F.collect_list("start").alias("first"))
 
     @F.arrow_udf("n_words long, n_removed long, kept string")
