@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import materialise
+from verdigris.llm.common import discard, materialise, written
 from verdigris.llm.components import connected
 from verdigris.llm.shingles import WordHashes, mix, shingle_set
 
 #: Nodes of a block, when a key has more.
 BLOCK = 4000
 #: Bytes up to which the list of wanted texts (40 each) is broadcast; a longer one is joined by a shuffle.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 64 << 20
 _HASHES = WordHashes()
 
 
@@ -264,10 +264,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("i"), text.alias("text"))
-    digests = materialise(rows.select("doc_id", "h", "i", _digest(F.col("text"), words, percent).alias("d")).select("doc_id", "h", "i", "d.*"))
+    mark = written()
+    whole = materialise(rows.select("doc_id", "h", "i", _digest(F.col("text"), words, percent).alias("d")).select("doc_id", "h", "i", "d.*"))
     source = F.any_value(F.struct("doc_id", "h", "i")).alias("source")
-    nodes = digests.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), source, F.any_value(F.struct("p", "q")).alias("pq"))
+    nodes = whole.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), source, F.any_value(F.struct("p", "q")).alias("pq"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "rep", "source", "pq.p", "pq.q"))
+    digests = materialise(whole.select("doc_id", "n", "a", "b"))
+    discard(docs.sparkSession, mark, keep=written() - mark - 1)  # the prefixes of all rows, which the nodes have now
     first = materialise(_common(nodes, percent).select("node"))
     second = materialise(_common(nodes.join(first, "node", "left_semi").select("node", "n", F.col("q").alias("p")), percent).select("node"))
     keys = materialise(_common(nodes.join(second, "node", "left_semi"), percent))
