@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontamination, html_text, language_id, line_dedup, ngram_jaccard, packing, quality, secret_scan, substring_dedup, token_counts
+from verdigris.llm import decontamination, html_text, language_id, line_dedup, ngram_jaccard, packing, prefix_trie, quality, secret_scan, spelling, substring_dedup, token_counts, toxicity
 from verdigris.llm.common import materialise
 
 
@@ -68,6 +68,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.learn(docs, labels.where(~toxicity.held_out())))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.grafted(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.words(_table(spark, sf_dir, "documents"), typo_rate=97, min_length=5, min_count=3)
+    return spelling.variants(words, factor=2)
+
+
 OP2_SQL = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -137,6 +153,82 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+#: A table of one row for the crc32 of ISO 8859-1 texts, and the expression that uses it.
+_CRC_TABLE = r"""crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"""
+_CRC = r"""xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda c:
+    CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + ord(c)::BIGINT // 64, 128 + ord(c)::BIGINT % 64] END))),
+    lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])))"""
+
+OP12_SQL = (
+    "WITH "
+    + _CRC_TABLE
+    + r""",
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, """
+    + _CRC.format(text="conv_id::VARCHAR")
+    + r""" % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.i, t.r, t.x FROM ids c JOIN turns t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.i, t.r, t.x FROM ids c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+paths AS (
+  SELECT conv_id, string_agg(md5(len(r) || ':' || r || x), '') OVER w AS path, row_number() OVER w AS d, length(x) AS size
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+  UNION ALL SELECT conv_id, '', 0, 0 FROM ids),
+marked AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+  SELECT path, any_value(d) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM marked GROUP BY path),
+children AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+subtrees AS (
+  SELECT left(path, 32 * k) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM known) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM known n JOIN subtrees s USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))
+"""
+)
+
+OP13_SQL = (
+    "WITH RECURSIVE "
+    + _CRC_TABLE
+    + r""",
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, """
+    + _CRC.format(text="coalesce(doc_id::VARCHAR, '') || ':' || run")
+    + r""" AS h FROM runs, crc_table),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (
+  SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+reach(word, root) AS (
+  SELECT word, coalesce(form, word) FROM forms UNION SELECT r.word, f.form FROM reach r JOIN forms f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN reach r USING (word) JOIN forms z ON r.root = z.word AND z.form IS NULL
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -150,8 +242,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_language_id": op10_language_id,
+        "op11_toxicity": op11_toxicity,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling_variants": OP13_SQL}
