@@ -11,6 +11,7 @@ logits of a text are the mean of its words' logits: tasks keep those by word.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,47 +101,48 @@ class Model:
         return (self.vectors @ self.softmax).astype(np.float32)
 
 
-def _bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bucket and weight of the n-grams of all texts; the weights of a text with words sum to one."""
-    numbers = _Numbers()
-    split = [words_of(t) for t in texts]
-    flat = np.fromiter((numbers[w] for ws in split for w in ws), np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
-    bucket, count = grams(numbers.new)
-    first = np.cumsum(count) - count
-    out = []
-    lengths = np.bincount(doc, minlength=len(texts))
-    for lo in range(0, len(texts), BATCH):  # one batch of texts at a time: repeated n-grams of a text become one
-        here = (doc >= lo) & (doc < lo + BATCH)
-        w, d = flat[here], doc[here]
-        n = count[w]
-        places = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key, back = np.unique(np.repeat(d, n) * BUCKETS + bucket[places], return_inverse=True)
-        weight = np.bincount(back, weights=np.repeat(1.0 / (n * np.maximum(lengths[d], 1)), n), minlength=len(key))
-        out.append((key // BUCKETS, key % BUCKETS, weight))
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
-
-
-def _telling(doc: np.ndarray, bucket: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, bucket and weight of the n-grams of BATCH texts at a time; the weights of a text with words sum to one."""
+    for lo in range(0, len(texts), BATCH):
+        numbers = _Numbers()
+        split = [words_of(t) for t in texts[lo : lo + BATCH]]
+        flat = np.fromiter((numbers[w] for ws in split for w in ws), np.int64)
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        doc = np.repeat(np.arange(len(split)), lengths)
+        bucket, count = grams(numbers.new)
+        first, n = np.cumsum(count) - count, count[flat]
+        places = np.repeat(first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        # repeated n-grams of a text become one
+        key, back = np.unique(np.repeat(doc, n) * BUCKETS + bucket[places], return_inverse=True)
+        weight = np.bincount(back, weights=np.repeat(1.0 / (n * np.maximum(lengths[doc], 1)), n), minlength=len(key))
+        yield lo + key // BUCKETS, key % BUCKETS, weight
+
+
+def _telling(texts: list[str], target: np.ndarray) -> np.ndarray:
     """Buckets that enough texts have and whose texts differ in class from the others by MIN_Z standard errors at least; the rest stay at zero."""
-    had = np.stack([np.bincount(bucket[target[doc, c] == 1], minlength=BUCKETS) for c in range(target.shape[1])])
+    had = np.zeros((target.shape[1], BUCKETS), np.int32)
+    for doc, bucket, _ in _bags(texts):
+        for c in range(len(had)):
+            had[c] += np.bincount(bucket[target[doc, c] == 1], minlength=BUCKETS).astype(np.int32)
+    some = np.flatnonzero(had.sum(0) >= MIN_TEXTS)
     n = np.maximum(target.sum(0), 1)[:, None]
-    share = had.sum(0) / n.sum()
-    z = np.abs(had / n - share) / np.sqrt(np.maximum(share * (1 - share), 1e-9) / n)
-    return np.flatnonzero((had.sum(0) >= MIN_TEXTS) & (z.max(0) >= MIN_Z))
+    share = had[:, some].sum(0) / n.sum()
+    z = np.abs(had[:, some] / n - share) / np.sqrt(np.maximum(share * (1 - share), 1e-9) / n)
+    return some[z.max(0) >= MIN_Z]
 
 
 def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, rate: float = RATE, classes: int = 2, seed: int = 1) -> Model:
     """Vectors and softmax by Adam on the cross-entropy, in batches; the same for the same rows in the same order."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    doc, bucket, weight = _bag([texts[i] for i in order])
+    texts = [texts[i] for i in order]
     target = np.eye(classes, dtype=np.float32)[np.array([labels[i] for i in order], np.int64)]
-    known = _telling(doc, bucket, target)
+    known = _telling(texts, target)
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
-    bucket = place[bucket]
-    doc, bucket, weight = doc[bucket >= 0], bucket[bucket >= 0], weight[bucket >= 0] * SCALE
+    # of the other buckets, whose vectors stay at zero, nothing is kept
+    kept = [(d[k], place[b[k]], w[k] * SCALE) for d, b, w in _bags(texts) for k in [place[b] >= 0]]
+    doc, bucket, weight = (np.concatenate([x[k] for x in kept]) if kept else np.zeros(0, np.int64) for k in range(3))
     vectors = rng.normal(0, 0.1, (len(known), DIM)).astype(np.float32)
     softmax = rng.normal(0, 1, (DIM, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
