@@ -107,7 +107,10 @@ def orders(decision: Column, parties: Column) -> Column:
     A clause that names no claim goes on with the one before it, if that names
     one and the clause isn't about appeal, the earlier judgment or other claims.
     """
-    rules = rule_array()
+    return let(F.struct(F.coalesce(decision, F.lit("")).alias("decision"), parties.alias("parties"), rule_array().alias("rules")), lambda b: _orders(b["decision"], b["parties"], b["rules"]))
+
+
+def _orders(decision: Column, parties: Column, rules: Column) -> Column:
 
     def target(s: Column) -> Column:
         firm = F.get(F.filter(parties, lambda p: (p["labor_role"] == "employer") & F.arrays_overlap(p["roles"], F.array(*map(F.lit, ("plaintiff", "appellant", "applicant"))))), F.lit(0))
@@ -134,7 +137,7 @@ def orders(decision: Column, parties: Column) -> Column:
         awarded = F.when(action == "reject", F.lit(0.0)).otherwise(F.coalesce(number(s, c.AWARDED), F.when(action == "pay", number(s))))
         return F.struct(i.alias("pos"), s.alias("source"), action.alias("action"), target(s).alias("target"), kind.alias("type"), F.lit(False).alias("carried"), number(s, c.ASKED).alias("asked"), awarded.alias("awarded"))
 
-    clauses = F.filter(F.transform(F.split(F.coalesce(decision, F.lit("")), c.CLAUSES), strip), lambda s: s != "")
+    clauses = F.filter(F.transform(F.split(decision, c.CLAUSES), strip), lambda s: s != "")
     kept = F.filter(F.transform(clauses, one), lambda o: (o["action"] != "unclear") | o["type"].isNotNull())
 
     def carry(done: Column, o: Column) -> Column:

@@ -54,7 +54,11 @@ def resolved(source: Column, claim_ids: Column, handled: Column) -> Column:
     have dealt with.  One number that no claim has leaves the whole clause
     unresolved; a clause without any reference that a rule can follow does too.
     """
-    claim_ids, handled = F.coalesce(claim_ids, F.array().cast("array<string>")), F.coalesce(handled, F.array().cast("array<string>"))
+    base = F.struct(source.alias("source"), F.coalesce(claim_ids, F.array().cast("array<string>")).alias("ids"), F.coalesce(handled, F.array().cast("array<string>")).alias("handled"))
+    return let(base, lambda b: _resolved(b["source"], b["ids"], b["handled"]))
+
+
+def _resolved(source: Column, claim_ids: Column, handled: Column) -> Column:
     several, earlier = F.lit("multi_claim_reference"), F.when(source.rlike(c.EARLIER_JUDGMENT), "appeal_mapping").otherwise("ordinal_reference")
 
     def numbered(m: Column) -> Column:
