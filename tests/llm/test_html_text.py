@@ -25,6 +25,12 @@ CASES = {
     "text without tags": ("just &lt; text", "just < text"),
     "open at the end": (f"<div><p>{P}<p>{P}<b>more<div", f"{Q}\n{Q} more"),
     "nothing but a script": ("<script>x</script>", ""),
+    "a share of the market": (f"<body><div class=nav><a href=x>a</a></div><div class=share-of-market><h2>T</h2><p>{P}</p><p>{P}</p></div></body>", f"T\n{Q}\n{Q}"),
+    "a policy on comments": (f"<body><h1>T</h1><div><p>{P}</p><div id=comment-policy><p>{P}</p></div><section class=related-work><p>{P}</p></section></div><ul class=share-buttons><li>{P}</ul></body>", f"T\n{Q}\n{Q}\n{Q}"),
+    "a board of notices": (f"<body><div class=notice-board><p>{P}</p><p>{P}</p></div><div class=cookie-notice>{P}</div></body>", f"{Q}\n{Q}"),
+    "an article under a wrong name": (f"<body><div class=sidebar><h2>T</h2><p>{P}</p><p>{P}</p></div><div>by me</div></body>", f"T\n{Q}\n{Q}"),
+    "nothing but a menu": (f"<body><div class=menu><a href=x>{P}</a><a href=y>{P}</a></div></body>", ""),
+    "nothing but a notice": ("<body><div class=cookie-notice>We use cookies on this site.</div></body>", ""),
 }
 
 

@@ -41,6 +41,15 @@ _CUT_WORDS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social comment comments disqus reply replies respond related recommended widget pagination pager login search copyright".split()
 )
 _HEADS = frozenset({"header", "banner"})
+#: Of these words, those that stand in other names too: a section on a share of the market, or on related work.
+_AMBIGUOUS = frozenset("share sharing social comment comments reply replies respond related recommended notice search copyright menu promotion sponsor sponsored overlay login navigation sidebar".split())
+#: Words that say of what kind a part is, not what it is about.
+_STRUCTURE = frozenset(
+    "a the main page site post posts entry article articles blog news story stories reader readers user users author body content contents text box bar block blocks area list lists item items link links button buttons icon icons "
+    "wrapper wrap container inner outer section panel pane group row col column columns grid left right top bottom nav form field input header head title count counts thread tree tools tool plugin js css is has no fixed sticky float mobile desktop small large primary secondary wp fb id ui".split()
+)
+#: Characters of a part that is kept in spite of its name, and how many times what is left of the page it has.
+_LEAST_ARTICLE, _TIMES_LEFT = 400, 4
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -57,7 +66,10 @@ class _Node:
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> int:
-    """2: cut for its tag, role or style; 1: cut for its names or as a form, unless it holds the article; 0: stays."""
+    """2: cut for its tag, role or style; 1: cut for its names or as a form, unless it holds the article or most of the text; 0: stays.
+
+    A name made of an ambiguous word and others that are no structure decides nothing.
+    """
     if tag in _CUT_TAGS or tag == "header" and not in_article:
         return 2
     if tag == "form":
@@ -69,7 +81,12 @@ def _named(tag: str, attributes: str, in_article: bool) -> int:
         return 2
     if found.get("role", "").lower() in _CUT_ROLES:
         return 2
-    names = {w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    names: set[str] = set()
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        cut = words & _CUT_WORDS
+        if not cut or not cut <= _AMBIGUOUS or words - cut <= _STRUCTURE:
+            names |= words
     return 1 if names & _CUT_WORDS or not in_article and names & _HEADS else 0
 
 
@@ -179,12 +196,20 @@ def measure(nodes: list[_Node]) -> None:
 
 
 def _decide_cuts(nodes: list[_Node]) -> None:
-    """Undo the cut of a part that holds main, an h1 or an article that isn't cut itself, and of a form that holds most of the text that isn't cut otherwise."""
+    """Undo cuts for a name, where what is cut is the article by what it holds.
+
+    That is a part with main, an h1 or an article that isn't cut itself, a form with
+    most of the text that isn't cut otherwise, and a part of any name with several
+    times the text that would be left of the page, most of it not in links.
+    """
     kept: dict[int, int] = {}
+    inside: dict[int, int] = {}  # with what is cut for its names alone
     for node in reversed(nodes):
         own = sum(len(c[0]) - c[0].count(" ") for c in node.children if not isinstance(c, _Node))
         inner = own + sum(kept[id(c)] for c in node.children if isinstance(c, _Node))
         kept[id(node)] = inner if not node.cut or node.tag == "form" else 0
+        inside[id(node)] = own + sum(inside[id(c)] for c in node.children if isinstance(c, _Node)) if node.cut < 2 else 0
+    left = kept[id(nodes[0])]
     holds = set()
     for node in nodes:
         if node.tag in ("main", "h1") or node.tag == "article" and not node.cut:
@@ -193,7 +218,8 @@ def _decide_cuts(nodes: list[_Node]) -> None:
                 holds.add(id(up))
                 up = up.parent
     for node in nodes:
-        if node.cut == 1 and (id(node) in holds or node.tag == "form" and 2 * kept[id(node)] > kept[id(nodes[0])]):
+        most = node.cut == 1 and inside[id(node)] >= max(_LEAST_ARTICLE, _TIMES_LEFT * left) and 3 * node.link_chars <= node.chars
+        if node.cut == 1 and (id(node) in holds or most or node.tag == "form" and 2 * kept[id(node)] > left):
             node.cut = 0
 
 
