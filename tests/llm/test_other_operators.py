@@ -1,10 +1,12 @@
 """Line dedup, packing, token counts, language ID, window removal and the pipeline on small tables."""
 
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from verdigris.llm import language_id, line_dedup, packing, substring_dedup, token_counts
@@ -101,3 +103,26 @@ def test_reference_removal_against_brute_force(spark):
         w = t.split()
         gone = {i + j for i in range(len(w) - 7) if tuple(w[i : i + 8]) in runs for j in range(8)}
         assert got[d] == " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "x" * 401 + " " + "y" * 400, "é😀\u0001" * 3000, "the" * 30_000, " " * 5000 + "word", "\n" * 2000 + "\t" * 2000])
+def test_long_pre_tokens_equal_the_library(text):
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    assert token_counts.PieceCounter(vocabulary("piece_bpe_32k.model")).count([text]) == [len(library.encode(text))]
+
+
+def test_a_million_characters_without_a_blank_take_linear_log_time():
+    rng = random.Random(6)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    counter = token_counts.PieceCounter(vocabulary("piece_bpe_32k.model"))
+    began = time.time()
+    got = counter.count([text])
+    assert time.time() - began < 30 and got == [len(library.encode(text))]
+
+
+def test_long_and_short_merges_agree():
+    rng = random.Random(7)
+    counter = token_counts.PieceCounter(vocabulary("piece_bpe_32k.model"))
+    words = ["".join(rng.choice("aeinrst▁🙂é") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    assert counter.merge(words).tolist() == [counter.merge_long(w) for w in words]
