@@ -55,3 +55,10 @@ def test_pieces_come_from_all_over_and_only_they_are_collected(spark):
     assert len(found) == 10 and all(len(p) == 100 and p in text for p in found) and places
     only = language_id.learn(spark.createDataFrame([(1, "a" * 3_000_000, "x")], "doc_id long, text string, lang string"), dict_bytes=1000, sample_piece=100)
     assert set(only) == {"x"} and len(only["x"]) <= 1000
+
+
+def test_texts_without_a_letter_are_unknown():
+    one = language_id.Classifier({"aa": b"some words of a language " * 50, "bb": "½ ²³ Ⅳ ① ٣ ".encode() * 50})
+    for text in ("½ ²³ Ⅳ ①", "٣٤ ៣ 〇 ㊿", "12 + 34 = 46", "\u0301\u0302", "", None, "_ _"):
+        assert one(text) == ("und", 0.0, 0.0, 0), text
+    assert one("½ a")[0] != "und" and one("語")[0] != "und"

@@ -102,7 +102,8 @@ class Classifier:
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def __call__(self, text: str | None) -> tuple[str, float, float, int]:
-        raw = normalise(text) if text else b""
+        # a number sign or fraction is no letter, although a word may hold it
+        raw = normalise(text) if text and any(map(str.isalpha, text)) else b""
         if not raw or not self.langs:
             return UNKNOWN, 0.0, 0.0, 0
         sizes = self.sizes(raw)
