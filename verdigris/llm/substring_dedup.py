@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from verdigris.llm.common import materialise
 from verdigris.llm.shingles import WordHashes, mix, windows
@@ -148,11 +149,17 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     * Rows that repeat an id are the same document to the order: of windows at
       the same place in each none is earlier, so both stay; of windows that
       they have at different places one stays.
+    * Ids are whole numbers below 2^62, as their order decides which of two windows is earlier; a column of another type is a TypeError, a larger id fails the job by name.
     * Rows without id come last, in the order of a hash of their texts; those with the same text are the same document.
     * Extra columns are ignored; an empty table gives an empty result.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids must be whole numbers, {id_col} is {kind.simpleString()}")
     last = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), last).alias("place"), F.col(text_col).alias("text"))
+    number = F.col(id_col).cast("long")
+    number = F.when(number >= 1 << 62, F.raise_error(F.lit(f"an id in {id_col} is 2^62 or more")).cast("long")).otherwise(number)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(number, last).alias("place"), F.col(text_col).alias("text"))
     bits, places = _bitmap(_anchors(rows, window))
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
     # an anchor stands for half of the windows that can hold it, on average
