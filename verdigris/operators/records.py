@@ -54,3 +54,8 @@ def overlay(df: DataFrame, patches: DataFrame, keys: list[str], columns: list[st
     newest = patches.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_p"))
     out = df.join(newest, keys, "left")
     return out.select(*(F.coalesce(F.col("_p")[c], df[c]).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def benchmark_verdict(*, gold: Column, predicted: Column, technical: Column, mismatch: Column) -> Column:
+    """What a prediction is worth against gold: failures and mistaken identities come first, then what is unclear, then right and wrong."""
+    return F.when(technical, "technical").when(mismatch, "identity").when(gold == "unclear", "unclear_gold").when(predicted == "unclear", "unresolved").when(predicted == gold, "correct").otherwise("incorrect")

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import contracts, unicode
+from verdigris.functions.claims import amount_outcome
 from verdigris.functions.rates import merged_outcome, percent
 from verdigris.operators import provenance as pv
 from verdigris.operators import records as rec
-from verdigris.operators import stats
+from verdigris.operators import routing, stats
 from verdigris.plans.records import RECORDS, records
 from verdigris.plans.registry import query
 from verdigris.sources.records import CLAIMS, PARSED, REVIEWS, claims, parsed, reviews
@@ -99,16 +100,19 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", F.when(F.col("done") == 0, "not_started").when(F.col("done") < F.col("n"), "in_progress").otherwise("completed").alias("status"))
 
 
+_BY_AMOUNT = "CASE WHEN asked > 0 AND awarded >= 0 THEN CASE WHEN awarded = 0 THEN 'not_supported' WHEN awarded < asked THEN 'partially_supported' ELSE 'supported' END WHEN outcome = 'not_supported' THEN 'not_supported' ELSE 'unclear' END"
+
+
 @query(
     "r13_benchmark_scoring",
-    f"WITH {CLAIMS}, g AS (SELECT *, CASE WHEN claim_id % 6 = 0 THEN 'unclear' ELSE outcome END AS predicted, case_id % 13 = 0 AS technical, case_id % 5 = 1 AS mismatch FROM claims WHERE case_id % 3 = 0), s AS (SELECT kind, CASE WHEN technical THEN 'technical' WHEN mismatch THEN 'identity' WHEN outcome = 'unclear' THEN 'unclear_gold' WHEN predicted = 'unclear' THEN 'unresolved' WHEN predicted = outcome AND claim_id % 4 <> 0 THEN 'correct' ELSE 'incorrect' END AS verdict FROM g) SELECT kind, verdict, count(*) AS n FROM s GROUP BY kind, verdict",
+    f"WITH {CLAIMS}, g AS (SELECT *, {_BY_AMOUNT} AS predicted FROM claims), s AS (SELECT kind, CASE WHEN asked IS NULL THEN 'technical' WHEN provider = 'unknown' THEN 'identity' WHEN outcome = 'unclear' THEN 'unclear_gold' WHEN predicted = 'unclear' THEN 'unresolved' WHEN predicted = outcome THEN 'correct' ELSE 'incorrect' END AS verdict FROM g) SELECT kind, verdict, count(*) AS n FROM s GROUP BY kind, verdict",
 )
 def r13(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions against gold claims: technical failures and mismatched identities come before right and wrong."""
-    gold = claims(spark, d).where("case_id % 3 = 0")
-    predicted = F.when(F.col("claim_id") % 6 == 0, "unclear").otherwise(F.col("outcome"))
-    verdict = F.when(F.col("case_id") % 13 == 0, "technical").when(F.col("case_id") % 5 == 1, "identity").when(F.col("outcome") == "unclear", "unclear_gold").when(predicted == "unclear", "unresolved").when((predicted == F.col("outcome")) & (F.col("claim_id") % 4 != 0), "correct").otherwise("incorrect")
-    return gold.groupBy("kind", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """What the amounts say of each claim against its gold outcome: claims that gave no amount, and those of unknown parties, come before right and wrong."""
+    c = F.col
+    predicted = F.coalesce(amount_outcome(c("asked"), c("awarded")), F.when(c("outcome") == "not_supported", "not_supported").otherwise("unclear"))
+    verdict = rec.benchmark_verdict(gold=c("outcome"), predicted=predicted, technical=c("asked").isNull(), mismatch=c("provider") == "unknown")
+    return claims(spark, d).groupBy("kind", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
 _CONFIDENCE = "(50 + l_orderkey * 7 % 50) / 100.0"
@@ -116,10 +120,18 @@ _REASONS = f"list_filter([CASE WHEN l_linenumber > 6 THEN 'empty_referenced_clai
 _DECIDED = f"c AS (SELECT l_orderkey AS case_id, l_linenumber AS fragment, l_partkey % 4 AS claim, l_returnflag AS treatment, {_CONFIDENCE}::DOUBLE AS confidence, {_REASONS} AS reasons FROM lineitem), v AS (SELECT *, CASE WHEN len(reasons) > 0 OR confidence < 0.7 THEN 'rejected' WHEN confidence < 0.8 THEN 'human_review' ELSE 'accepted' END AS decision FROM c)"
 
 
+def _line_confidence() -> Column:
+    return (50 + F.col("l_orderkey") * 7 % 50) / 100
+
+
+def _line_reasons() -> Column:
+    c = F.col
+    return pv.issues(empty_referenced_claim_ids=c("l_linenumber") > 6, conflicts_with_action=(c("l_returnflag") == "R") & (c("l_linestatus") == "O"), claim_id_not_found=c("l_quantity") >= 50, invalid_provenance=c("l_suppkey") % 11 == 0)
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    reasons = pv.issues(empty_referenced_claim_ids=c("l_linenumber") > 6, conflicts_with_action=(c("l_returnflag") == "R") & (c("l_linestatus") == "O"), claim_id_not_found=c("l_quantity") >= 50, invalid_provenance=c("l_suppkey") % 11 == 0)
-    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("case_id"), c("l_linenumber").alias("fragment"), (c("l_partkey") % 4).alias("claim"), c("l_returnflag").alias("treatment"), ((50 + c("l_orderkey") * 7 % 50) / 100).alias("confidence"), reasons.alias("reasons"))
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("case_id"), c("l_linenumber").alias("fragment"), (c("l_partkey") % 4).alias("claim"), c("l_returnflag").alias("treatment"), _line_confidence().alias("confidence"), _line_reasons().alias("reasons"))
     return rows.withColumn("decision", pv.decision(c("reasons"), c("confidence")))
 
 
@@ -179,16 +191,21 @@ def r23(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(stored, "doc_id", "left").select("doc_id", F.when(F.col("h").isNull(), "missing").when(F.col("h") == F.col("now"), "valid").otherwise("stale").alias("state"))
 
 
-@query(
-    "r24_candidate_routing",
-    f"WITH {_DECIDED}, a AS (SELECT *, lag(treatment) OVER (PARTITION BY case_id, claim ORDER BY fragment, treatment) AS before FROM v WHERE decision = 'accepted'), r AS (SELECT decision AS route FROM v WHERE decision <> 'accepted' UNION ALL SELECT CASE WHEN before IS NOT NULL AND before <> treatment THEN 'human_review' ELSE 'accepted' END FROM a) SELECT route, count(*) AS n FROM r GROUP BY route",
-)
+_ROUTED = f"""{_DECIDED.split(", v AS")[0]}, l AS (SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, list_sort(list_distinct([l_partkey % 4, l_suppkey % 4])), l_returnflag, {_CONFIDENCE}::DOUBLE, l_partkey, l_suppkey) AS n,
+    list_sort(list_distinct([l_partkey % 4, l_suppkey % 4])) AS ids, l_returnflag AS treatment, {_CONFIDENCE}::DOUBLE AS confidence, {_REASONS} AS reasons FROM lineitem),
+    fold AS (SELECT case_id, 0::BIGINT AS n, MAP {{}}::MAP(BIGINT, VARCHAR) AS treated, NULL::VARCHAR AS route, NULL::BOOLEAN AS conflict FROM (SELECT DISTINCT case_id FROM l) UNION ALL
+    SELECT case_id, n, CASE WHEN route = 'rejected' THEN treated ELSE map_concat(treated, map_from_entries(list_transform(ids, lambda x: {{'k': x, 'v': treatment}}))) END, route, conflict FROM (
+    SELECT *, CASE WHEN conflict OR len(reasons) > 0 OR confidence < 0.7 THEN 'rejected' WHEN confidence < 0.8 THEN 'human_review' ELSE 'accepted' END AS route FROM (
+    SELECT l.*, f.treated, len(list_filter(l.ids, lambda x: coalesce(f.treated[x], l.treatment) <> l.treatment)) > 0 AS conflict FROM fold f JOIN l ON l.case_id = f.case_id AND l.n = f.n + 1)))"""
+
+
+@query("r24_candidate_routing", f"WITH RECURSIVE {_ROUTED} SELECT route, conflict, count(*) AS n FROM fold WHERE n > 0 GROUP BY route, conflict")
 def r24(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates routed three ways; an accepted one that contradicts the one before it for the same claim goes to a reviewer."""
-    rows = _candidates(spark, d)
-    accepted = rows.where("decision = 'accepted'").withColumn("before", F.lag("treatment").over(Window.partitionBy("case_id", "claim").orderBy("fragment", "treatment")))
-    routed = accepted.select(F.when(F.col("before").isNotNull() & (F.col("before") != F.col("treatment")), "human_review").otherwise("accepted").alias("route"))
-    return routed.unionByName(rows.where("decision <> 'accepted'").select(F.col("decision").alias("route"))).groupBy("route").agg(F.count("*").alias("n"))
+    """Candidates routed in order: each is held against all earlier ones of its case that were accepted or sent to a reviewer."""
+    ids = F.array_sort(F.array_distinct(F.array(F.col("l_partkey") % 4, F.col("l_suppkey") % 4)))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), ids.alias("claim_ids"), F.col("l_returnflag").alias("treatment"), _line_confidence().alias("confidence"), _line_reasons().alias("reasons"), "l_partkey", "l_suppkey")
+    out = routing.route(lines, group=["case_id"], order=["n"])
+    return out.groupBy("route", F.array_contains("reasons", routing.CONFLICT).alias("conflict")).agg(F.count("*").alias("n"))
 
 
 @query("r27_snapshot_export", f"""WITH {RECORDS}, s AS (SELECT has_review, included, coalesce(role, '') AS role, count(*) AS n FROM records GROUP BY ALL) SELECT role, '{{"role":"' || role || '","cells":[' || string_agg('{{"reviewed":' || has_review || ',"included":' || included || ',"n":' || n || '}}', ',' ORDER BY has_review, included) || ']}}' AS snapshot FROM s GROUP BY role""")

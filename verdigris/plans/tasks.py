@@ -93,10 +93,11 @@ def r25(spark: SparkSession, d: str) -> DataFrame:
     return claims(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("r26_manual_items", f"WITH {CLAIMS} SELECT case_id, count(*) AS n_claims, 'unclear' AS outcome, 0.0::DOUBLE AS confidence FROM claims WHERE case_id % 17 = 0 GROUP BY case_id")
+@query("r26_manual_items", f"WITH {CLAIMS} SELECT case_id, count(*) AS n_claims, 'unclear' AS outcome, 0.0::DOUBLE AS confidence FROM claims GROUP BY case_id HAVING bool_and(outcome = 'unclear' OR asked IS NULL)")
 def r26(spark: SparkSession, d: str) -> DataFrame:
-    """An item to fill in by hand for each case whose results failed: all claims unclear, no confidence."""
-    return claims(spark, d).where("case_id % 17 = 0").groupBy("case_id").agg(F.count("*").alias("n_claims")).select("case_id", "n_claims", F.lit("unclear").alias("outcome"), F.lit(0.0).alias("confidence"))
+    """An item to fill in by hand for each case of which no claim has a result: all claims unclear, no confidence."""
+    failed = (F.col("outcome") == "unclear") | F.col("asked").isNull()
+    return claims(spark, d).groupBy("case_id").agg(F.count("*").alias("n_claims"), F.bool_and(failed).alias("failed")).where("failed").select("case_id", "n_claims", F.lit("unclear").alias("outcome"), F.lit(0.0).alias("confidence"))
 
 
 @query("s15_scanned_texts", "SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 50 THEN 'scanned' ELSE 'text' END AS kind FROM documents")
