@@ -8,6 +8,8 @@ works on one stratum at a time and only up to MOST_SHUFFLED ids.
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +107,6 @@ def candidate_hash(df: DataFrame, id_col: str) -> str:
     That is sequential by definition, so it takes at most MOST_SHUFFLED ids,
     checked; population_hash has no such bound.
     """
-    import hashlib
-
     rows = df.select(F.col(id_col).cast("string")).limit(MOST_SHUFFLED + 1).collect()
     if len(rows) > MOST_SHUFFLED:
         raise ValueError(f"more than {MOST_SHUFFLED} ids: take population_hash")
@@ -118,3 +118,29 @@ def population_hash(df: DataFrame, id_col: str) -> DataFrame:
     digest = F.sha2(F.col(id_col).cast("string"), 256)
     words = [F.coalesce(F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")), F.lit(0)).alias(f"w{k}") for k in range(8)]
     return df.agg(F.count("*").alias("n"), *words).select(F.sha2(F.concat_ws(":", *(F.col(f"w{k}").cast("string") for k in range(8))), 256).alias("h"), "n")
+
+
+def tree_hash(df: DataFrame, id_col: str, *, width: int = 4096) -> DataFrame:
+    """h, n, levels: a hash of the ordered set of ids of any size, as a tree of hashes.
+
+    The SHA-256 of an id places it in one of enough blocks for about ``width`` ids
+    each; a block is the hash of its ids in order, one to a line, and every
+    ``width`` blocks in order are one on the level above, until one is left.  Places
+    depend on the ids and their number alone, so neither partitions nor the order
+    of rows matter, a repeated id counts once, and no task holds more than a block.
+    """
+    ids = df.select(F.col(id_col).cast("string").alias("id")).where(F.col("id").isNotNull()).distinct().withColumn("d", F.sha2("id", 256))
+    n = ids.count()
+    size = max(1, -(-n // width))
+    place = (F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % size).alias("block")
+    line = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    level = ids.groupBy(place).agg(line("id").alias("h"))
+    levels = 1
+    while size > 1:
+        size = -(-size // width)
+        rows = level.groupBy(F.floor(F.col("block") / width).alias("block"))
+        level = rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+        levels += 1
+    if not n:
+        return df.sparkSession.createDataFrame([(hashlib.sha256(b"").hexdigest(), 0, 0)], "h string, n long, levels int")
+    return level.select("h", F.lit(n).alias("n"), F.lit(levels).alias("levels"))
