@@ -6,7 +6,7 @@ nothing is joined, and each text is read where it lies.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,16 +71,16 @@ def section(text: Column, opens: str, ends: str, clip: int = 0) -> Column:
     return F.substring(out, 1, clip) if clip else out
 
 
-def has_any(text: Column, words: str) -> Column:
-    """Whether the text has one of the blank-separated words."""
+def has_any(text: Column, words: str | Sequence[str]) -> Column:
+    """Whether the text has one of the words; a few may be given in one text, apart by blanks."""
     out = None
-    for w in words.split():
+    for w in words.split() if isinstance(words, str) else words:
         hit = F.contains(text, F.lit(w))
         out = hit if out is None else out | hit
     return out
 
 
-def names_of(text: Column, table: list[tuple[str, str]], none: str | None = None) -> Column:
+def names_of(text: Column, table: list[tuple[str, str | Sequence[str]]], none: str | None = None) -> Column:
     """The names whose key words the text has, in order; ``none`` alone without any."""
     found = F.array_compact(F.array(*(F.when(has_any(text, words), F.lit(name)) for name, words in table)))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(none))) if none else found

@@ -41,8 +41,8 @@ def _section(text: str, opens: str, ends: str, clip: int = 0) -> str:
     return f"substring({out}, 1, {clip})" if clip else out
 
 
-def _any(text: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({text}, {_lit(w)})" for w in words.split()) + ")"
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_lit(w)})" for w in (words.split() if isinstance(words, str) else words)) + ")"
 
 
 def _names(text: str, table) -> str:
@@ -304,13 +304,13 @@ def _claims_sql() -> str:
     out = f"c0 AS (SELECT case_id, {_section(_CLEAN, *_SECTION['claims'])} AS r, {_section(_CLEAN, *_SECTION['claims'])} AS src, {_section(_CLEAN, *_SECTION['decision'])} AS decision, CAST([] AS VARCHAR[]) AS w FROM texts)"
     for k, (name, _, words) in enumerate(t.CLAIMS):
         gone = "coalesce(r, '')"
-        for x in words.split():
+        for x in words:
             gone = f"replace({gone}, {_lit(x)}, ' ')"
         out += f", c{k + 1} AS (SELECT case_id, {gone} AS r, src, decision, CASE WHEN {_any('r', words)} THEN list_concat(w, [{_lit(name)}]) ELSE w END AS w FROM c{k})"
     return out
 
 
-_CLAIM_TABLE = "(VALUES " + ", ".join(f"({_lit(n)}, {_lit(k)}, {_list(words.split())})" for n, k, words in t.CLAIMS) + ") AS k(name, type, words)"
+_CLAIM_TABLE = "(VALUES " + ", ".join(f"({_lit(n)}, {_lit(k)}, {_list(words)})" for n, k, words in t.CLAIMS) + ") AS k(name, type, words)"
 
 
 def claims_of(claims: Column, decision: Column) -> Column:
@@ -321,8 +321,8 @@ def claims_of(claims: Column, decision: Column) -> Column:
     the first within 48 characters after the claim's words; a claim that the
     decision names with an order has its outcome, all others are unclear.
     """
-    found = rules.taken_in_turn(F.coalesce(claims, F.lit("")), [(n, words.split()) for n, _, words in t.CLAIMS])["found"]
-    known = {n: (k, words.split()) for n, k, words in t.CLAIMS}
+    found = rules.taken_in_turn(F.coalesce(claims, F.lit("")), [(n, list(words)) for n, _, words in t.CLAIMS])["found"]
+    known = {n: (k, words) for n, k, words in t.CLAIMS}
     types = F.create_map(*(F.lit(x) for n, (k, _) in known.items() for x in (n, k)))
     words = F.create_map(*(x for n, (_, w) in known.items() for x in (F.lit(n), F.array(*map(F.lit, w)))))
 
@@ -415,7 +415,7 @@ _PART = "([^，。；\\n]*?(?:{p})[^，。；\\n]*)"
 
 @query(
     "t24_defense_catalogue",
-    f"""WITH {TEXTS}, s AS (SELECT case_id, text, {_section(_CLEAN, *_SECTION['respondent'])} AS r, {_section(_CLEAN, *_SECTION['reasoning'])} AS j FROM texts), k AS (SELECT * FROM (VALUES {", ".join(f"({_lit(n)}, {_list(w.split())}, {_lit(_PART.format(p=p))})" for n, w, p in t.DEFENSE_KINDS)}) AS k(name, words, part)),
+    f"""WITH {TEXTS}, s AS (SELECT case_id, text, {_section(_CLEAN, *_SECTION['respondent'])} AS r, {_section(_CLEAN, *_SECTION['reasoning'])} AS j FROM texts), k AS (SELECT * FROM (VALUES {", ".join(f"({_lit(n)}, {_list(w)}, {_lit(_PART.format(p=p))})" for n, w, p in t.DEFENSE_KINDS)}) AS k(name, words, part)),
     h AS (SELECT case_id, name, words, nullif(trim(regexp_extract(r, part)), '') AS a, nullif(trim(regexp_extract(j, part)), '') AS b FROM s, k WHERE len(list_filter(words, lambda w: contains(text, w))) > 0)
     SELECT case_id, name, coalesce(a, b, words[1]) AS matched, CASE WHEN a IS NOT NULL THEN 0.9 WHEN b IS NOT NULL THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM h""",
 )
@@ -425,14 +425,14 @@ def t24(spark: SparkSession, d: str) -> DataFrame:
 
     def one(name: str, words: str, part: str) -> Column:
         a, b = (F.nullif(F.trim(F.regexp_extract(c, _PART.format(p=part), 1)), F.lit("")) for c in ("r", "j"))
-        return F.when(rules.has_any(the_text(), words), F.struct(F.lit(name).alias("name"), F.coalesce(a, b, F.lit(words.split()[0])).alias("matched"), F.when(a.isNotNull(), 0.9).when(b.isNotNull(), 0.8).otherwise(0.6).alias("confidence")))
+        return F.when(rules.has_any(the_text(), words), F.struct(F.lit(name).alias("name"), F.coalesce(a, b, F.lit(words[0])).alias("matched"), F.when(a.isNotNull(), 0.9).when(b.isNotNull(), 0.8).otherwise(0.6).alias("confidence")))
 
     return s.select("case_id", F.explode(F.array_compact(F.array(*(one(*k) for k in t.DEFENSE_KINDS)))).alias("x")).select("case_id", "x.*")
 
 
 @query(
     "t25_evidence_providers",
-    f"""WITH {TEXTS}, k AS (SELECT * FROM (VALUES {", ".join(f"({_lit(n)}, {_list(w.split())}, {_lit(_PART.format(p=p))})" for n, w, p in t.EVIDENCE_KINDS)}) AS k(name, words, part)),
+    f"""WITH {TEXTS}, k AS (SELECT * FROM (VALUES {", ".join(f"({_lit(n)}, {_list(w)}, {_lit(_PART.format(p=p))})" for n, w, p in t.EVIDENCE_KINDS)}) AS k(name, words, part)),
     h AS (SELECT case_id, name, text, words, part, list_filter(list_transform(regexp_split_to_array(text, '[。；\\n]'), lambda s: trim(s)), lambda s: len(list_filter(words, lambda w: contains(s, w))) > 0 AND regexp_matches(s, '{t.HANDED_IN}'))[1] AS s FROM texts, k WHERE len(list_filter(words, lambda w: contains(text, w))) > 0),
     p AS (SELECT *, regexp_extract(s, '^(.*?)(?:{t.HANDED_IN})', 1) AS before FROM h),
     v AS (SELECT *, CASE WHEN s IS NULL OR regexp_matches(before, '(未|没|没有|未能)$') THEN 'unknown' WHEN regexp_matches(before, '第三方|第三人') THEN 'third_party' WHEN regexp_matches(before, '(本院|法院)(依法)?$') THEN 'court' WHEN contains(before, '被申请人') THEN 'employer' WHEN contains(before, '申请人') THEN 'employee' ELSE 'unknown' END AS provider FROM p)
@@ -451,7 +451,7 @@ def t25(spark: SparkSession, d: str) -> DataFrame:
         before = F.regexp_extract(sentence, f"^(.*?)(?:{t.HANDED_IN})", 1)
         provider = F.when(sentence.isNull() | before.rlike("(未|没|没有|未能)$"), "unknown").when(before.rlike("第三方|第三人"), "third_party").when(before.rlike("(本院|法院)(依法)?$"), "court").when(F.contains(before, F.lit("被申请人")), "employer").when(F.contains(before, F.lit("申请人")), "employee").otherwise("unknown")
         matched = F.nullif(F.trim(F.regexp_extract(the_text(), _PART.format(p=part), 1)), F.lit(""))
-        return rules.let(provider, lambda p: F.struct(F.lit(name).alias("name"), p.alias("provider"), F.when(p != "unknown", sentence).otherwise(F.coalesce(matched, F.lit(words.split()[0]))).alias("matched"), F.when(p != "unknown", 0.9).when(matched.isNotNull(), 0.7).otherwise(0.5).alias("confidence")))
+        return rules.let(provider, lambda p: F.struct(F.lit(name).alias("name"), p.alias("provider"), F.when(p != "unknown", sentence).otherwise(F.coalesce(matched, F.lit(words[0]))).alias("matched"), F.when(p != "unknown", 0.9).when(matched.isNotNull(), 0.7).otherwise(0.5).alias("confidence")))
 
     rows = awards(spark, d).select("case_id", "text", handed.alias("handed"))
     return rows.select("case_id", F.explode(F.array_compact(F.array(*(one(*k) for k in t.EVIDENCE_KINDS)))).alias("x")).select("case_id", "x.*")
