@@ -17,15 +17,16 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def tf_idf(docs: DataFrame, id_col: str, text_col: str, least_docs: int = 2) -> DataFrame:
     """term, df, total, score: the mean over all documents of tf * idf, idf = ln((N + 1) / (df + 1)) + 1.
 
-    The words of a row are sorted there, so that the first of each term counts
-    for df and every one for its share of the document: one shuffle, by term, of
-    sums that each task has made before.
+    The words of a row are sorted and counted there, so that a term leaves it once:
+    one shuffle, by term, of sums that each task has made before.
     """
     n = docs.count()
-    words = docs.select(F.array_sort(terms(F.col(text_col))).alias("_w"))
-    marked = F.transform("_w", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("_w", i - 1) == x), 0).otherwise(1).alias("first")))
-    rows = words.select((1 / F.size("_w")).alias("_share"), F.explode(marked).alias("x"))
-    by_term = rows.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count("*").alias("total"), F.sum("_share").alias("_tf"))
+    words = docs.select(F.array_sort(terms(F.col(text_col))).alias("_w")).where(F.size("_w") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i - 1) != F.get("_w", i)))
+    words = words.select("_w", starts.alias("_s"))
+    counted = F.transform("_s", lambda i, k: F.struct(F.get("_w", i).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_w")) - i).alias("n")))
+    rows = words.select(F.size("_w").alias("_length"), F.explode(counted).alias("x"))
+    by_term = rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.n").alias("total"), F.sum(F.col("x.n") / F.col("_length")).alias("_tf"))
     idf = F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1
     return by_term.where(F.col("df") >= least_docs).select("term", "df", "total", F.round(F.col("_tf") * idf / n, 4).alias("score"))
 

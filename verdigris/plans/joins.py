@@ -27,9 +27,11 @@ def j02(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(ids, "c_custkey").select("pos", "c_custkey", "c_name")
 
 
-@query("j03_missing", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("j03_missing", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def j03(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an open order."""
+    open_ = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(open_, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j04_stored_and_new", "SELECT o_custkey IS NOT NULL AS stored, count(*) AS n FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey GROUP BY 1")

@@ -141,9 +141,9 @@ def e02(spark: SparkSession, d: str) -> DataFrame:
     return items.where("case_id = 1").select("kind").intersect(items.where("case_id = 2").select("kind"))
 
 
-@query("e03_remaining", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("e03_remaining", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def e03(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select("o_custkey").distinct())
+    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct())
 
 
 @query("e04_subset_test", "SELECT count(*) AS outside FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey")
