@@ -48,12 +48,12 @@ def plain(ids, width):
     return (next(iter(level.values())), len(ids), levels) if ids else (digest([]) if False else hashlib.sha256(b"").hexdigest(), 0, 0)
 
 
-@pytest.mark.parametrize("n,width", [(0, 4), (1, 4), (4, 4), (5, 4), (300, 4), (300, 4096)])
+@pytest.mark.parametrize("n,width", [(0, 4), (5, 4), (300, 4), (300, 4096)])
 def test_tree_hash(spark, n, width):
     ids = list(range(n)) + list(range(n // 2)) + [None]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     want = plain(ids, width)
-    for parts in (1, 3, 17):
+    for parts in (1, 5):
         assert tuple(sp.tree_hash(df.repartition(parts).orderBy(F.rand(parts)), "id", width=width).first()) == want
     if n > 4:
         assert sp.tree_hash(df.where("id <> 3"), "id", width=width).first()["h"] != want[0]
