@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from verdigris.functions import court_tables as c
 from verdigris.functions.claims import CLAIM_FIELDS
 from verdigris.functions.diagnoses import RULE_REASONS
-from verdigris.operators import judgments
+from verdigris.operators import audits, judgments
 from verdigris.plans.registry import query
 from verdigris.sources.judgments import COURT, court_texts
+from verdigris.sources.tables import CASES
+from verdigris.sources.tables import cases as city_cases
 
 
 def _q(s: str) -> str:
@@ -110,8 +112,16 @@ all_roles AS (SELECT * FROM own_roles UNION SELECT case_id, name, unnest(['count
 parties AS (SELECT case_id, 'party_' || p AS id, p, name, CASE WHEN name = employee THEN 'employee' WHEN name = employer THEN 'employer' WHEN label = '第三人' THEN 'other' ELSE 'unknown' END AS labor_role, (SELECT list(role) FROM all_roles a WHERE a.case_id = f.case_id AND a.name = f.name) AS roles FROM firsts f JOIN known USING (case_id))"""
 
 
+_READ: dict[tuple, DataFrame] = {}
+
+
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    return judgments.read(court_texts(spark, d))
+    """The judgments as read; the plan, which takes seconds to put together, is kept for the session's other queries (no data is)."""
+    key = (spark.sparkContext.applicationId, id(spark), d)
+    if key not in _READ:
+        _READ.clear()
+        _READ[key] = judgments.read(court_texts(spark, d))
+    return _READ[key]
 
 
 @query("t17_party_recognition", f"WITH {PARTIES} SELECT k.case_id, employee, employer, applicant_role, confidence, p.id AS party_id, p.name, p.labor_role, array_to_string(list_sort(p.roles), ',') AS roles FROM known k LEFT JOIN parties p USING (case_id)")
@@ -309,3 +319,42 @@ def t27(spark: SparkSession, d: str) -> DataFrame:
     """Why an outcome isn't known, for the case, each claim and each side: the whole ladder of reasons."""
     rows = cases(spark, d).select("case_id", F.explode("diagnostics").alias("x"))
     return rows.select("case_id", "x.target", "x.claim_id", "x.claim_type", "x.outcome", "x.reason", "x.suggestion")
+
+
+_SHARE = "CASE WHEN {w} > 0 THEN floor({p}::DOUBLE / {w} * 1000 + 0.5) / 10 ELSE 0 END"
+_AUDIT = f"""{DIAGNOSES},
+flagged AS (SELECT x.*, EXISTS (SELECT 1 FROM diagnosed g WHERE g.case_id = x.case_id AND (g.claim_id = x.id OR (g.claim_id IS NULL AND g.claim_type = x.type))) AS review FROM claims x),
+items_ AS (SELECT reason, CASE WHEN reason IN ({', '.join(map(_q, RULE_REASONS))}) THEN 'rule_improvement' ELSE 'manual_review' END AS suggestion FROM diagnosed),
+sums AS (SELECT (SELECT count(*) FROM court) AS cases, count(*) AS claims, count(*) FILTER (WHERE outcome <> 'unclear') AS resolved, count(*) FILTER (WHERE outcome = 'unclear') AS unclear, count(*) FILTER (WHERE review) AS needs_review, (SELECT count(*) FROM items_) AS review_items FROM flagged)
+SELECT 'total' AS section, key, n, 0 AS needs_review, CASE WHEN key IN ('cases', 'review_items') THEN 0 ELSE {_SHARE.format(p='n', w='claims')} END AS share FROM (SELECT claims, unnest(['cases', 'claims', 'resolved', 'unclear', 'needs_review', 'review_items']) AS key, unnest([cases, claims, resolved, unclear, needs_review, review_items]) AS n FROM sums)
+UNION ALL SELECT 'outcome', o, count(f.id), count(*) FILTER (WHERE review), {_SHARE.format(p='count(f.id)', w='any_value(s.claims)')} FROM (SELECT unnest(['supported', 'partially_supported', 'not_supported', 'unclear']) AS o) LEFT JOIN flagged f ON f.outcome = o, sums s GROUP BY o
+UNION ALL SELECT 'claim_type', type, count(*), count(*) FILTER (WHERE review), {_SHARE.format(p="count(*) FILTER (WHERE outcome = 'unclear')", w='count(*)')} FROM flagged GROUP BY type
+UNION ALL SELECT 'reason', reason, count(*), 0, {_SHARE.format(p='count(*)', w='any_value(review_items)')} FROM items_, sums GROUP BY reason
+UNION ALL SELECT 'suggestion', suggestion, count(*), 0, {_SHARE.format(p='count(*)', w='any_value(review_items)')} FROM items_, sums GROUP BY suggestion"""
+
+
+@query("a26_outcome_audit", f"WITH RECURSIVE {_AUDIT}")
+def a26(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of claims and their outcomes, with reasons, types and suggestions of what needs review."""
+    return audits.outcome_audit(cases(spark, d))
+
+
+@query("a26_amount_risks", f"WITH RECURSIVE {CLAIMS} SELECT case_id, id AS claim_id, type, name, asked, awarded FROM claims WHERE type IN ({_MONETARY}) AND outcome = 'supported' AND awarded > 0 AND awarded < asked")
+def a26_risks(spark: SparkSession, d: str) -> DataFrame:
+    """Claims granted in full although less is awarded than asked."""
+    return audits.amount_risks(cases(spark, d))
+
+
+@query(
+    "a25_run_quality",
+    f"""WITH {CASES}, r AS (SELECT city, year, amount >= 15000 AS there, amount >= 15000 AND level <> '4-NOT SPECIFIED' AS counted, outcome FROM cases),
+    s AS (SELECT city, year, count(*) AS expected, count(*) FILTER (WHERE there) AS available, count(*) FILTER (WHERE counted) AS included, count(*) FILTER (WHERE counted AND outcome = 'unclear') AS unknown FROM r GROUP BY city, year),
+    t AS (SELECT city, sum(expected)::BIGINT AS expected, sum(available)::BIGINT AS available, sum(included)::BIGINT AS included, sum(unknown)::BIGINT AS unknown, count(*) FILTER (WHERE available = 0) AS lost, count(*) FILTER (WHERE available > 0 AND available < expected) AS thinned FROM s GROUP BY city)
+    SELECT city, expected, available, expected - available AS missing, included, available - included AS excluded, unknown, round(available::DOUBLE / expected, 4) AS coverage, CASE WHEN included > 0 THEN round(unknown::DOUBLE / included, 4) ELSE 0 END AS unknown_rate,
+    array_to_string(list_filter([CASE WHEN expected > available THEN 'MISSING_ANALYSIS_RECORDS' END, CASE WHEN available = 0 THEN 'EMPTY_ANALYSIS_INPUT' END, CASE WHEN available > 0 AND included = 0 THEN 'NO_ANALYTICS_ELIGIBLE_RECORDS' END, CASE WHEN included BETWEEN 1 AND 29 THEN 'SMALL_SAMPLE' END, CASE WHEN included > 0 AND unknown::DOUBLE / included > 0.1 THEN 'HIGH_UNKNOWN_OUTCOME_RATE' END,
+    CASE WHEN lost > 0 THEN 'STRATUM_MISSING_AFTER_PROCESSING:' || lost END, CASE WHEN thinned > 0 THEN 'STRATUM_ATTRITION:' || thinned END], lambda x: x IS NOT NULL), ',') AS issues, CASE WHEN available = 0 THEN 'blocked' WHEN expected > available OR included < 30 OR unknown::DOUBLE / included > 0.1 OR lost > 0 OR thinned > 0 THEN 'warning' ELSE 'pass' END AS status FROM t""",
+)
+def a25(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of a run over each city, by years as strata: what is missing, left out, unknown, thinned."""
+    records = city_cases(spark, d)
+    return audits.run_quality(records, run="city", stratum="year", available=F.col("amount") >= 15000, eligible=F.col("level") != "4-NOT SPECIFIED", outcome="outcome")
