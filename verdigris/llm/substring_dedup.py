@@ -261,7 +261,12 @@ def remove_reference(docs: DataFrame, reference: DataFrame, *, id_col: str = "do
     The reference is cut into shards of at most SHARD_WORDS words, whole texts
     each, whose automata are broadcast.  It must have at most REFERENCE_WORDS
     words, which is checked; a larger one raises a ValueError and is a case for
-    ``remove_repeated`` over both tables.  Null texts have no words.
+    ``remove_repeated`` over both tables.
+
+    * Null and empty texts, of documents or of the reference, have no words; an empty reference removes nothing.
+    * Ids may be null, of any type, and repeated: each row is judged by itself.
+    * A run must lie within one reference text; texts that repeat in the reference change nothing.
+    * Extra columns are ignored, whatever their names; an empty table of documents gives an empty result.
     """
     n = F.size(F.filter(F.split(F.coalesce(reference_col, F.lit("")), "[ \\t-\\r]+"), lambda x: x != ""))
     total = reference.select(F.sum(n)).first()[0] or 0
