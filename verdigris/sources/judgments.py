@@ -96,7 +96,11 @@ def court_texts(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(F.replace(text, F.lit("$a"), asked), F.lit("$b"), awarded)
     request = F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("原告向法院提出诉讼请求：请求支付"), _court_part("claim"), asked, F.lit("元。")))
     title = F.when(F.col("o_orderkey") % 11 == 0, F.concat(_court_part("person"), F.lit("与"), _court_part("firm"), F.lit("劳动争议一审民事判决书")))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), text.alias("text"), title.alias("title"), request.alias("request"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:  # the rules take far longer than the scan: a small file shouldn't be one task
+        orders = orders.repartition(cores)
+    return orders.select(F.col("o_orderkey").alias("case_id"), text.alias("text"), title.alias("title"), request.alias("request"))
 
 
 def _court_sql(name: str) -> str:
