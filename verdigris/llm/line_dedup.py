@@ -1,54 +1,71 @@
 """Line deduplication across documents.
 
-Normalised lines are exploded and hashed, the distinct documents of each hash
+Normalised lines are hashed and exploded, the distinct documents of each hash
 are counted, and the lines of hashes found in many documents are dropped; what
 is left is reassembled by position.
 
-Only hashes are shuffled for counting: a row for each line of a document, spread
-by line and document before documents are counted, so that a line which a third
-of all documents share lies in no single task.  The join that finds a document's
-dropped positions moves hashes and positions, never text.
+Texts are split and hashed once, into a table of positions and hashes that both
+the count and the search for dropped positions read.  Only hashes are shuffled
+for counting: a row for each line of a document, spread by line and document
+before documents are counted, so that a line which a third of all documents
+share lies in no single task.  The join that finds a document's dropped
+positions moves hashes and positions, never text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import SPACES, ascii_lower, materialise, with_row_key
+from verdigris.llm.common import SPACES, materialise, with_row_key
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+def line_hashes(texts: pa.Array) -> pa.Array:
+    """For each text the positions of its lines that have a key, and 128 bits of each key, so that no two of 10^12 meet by chance.
+
+    The key is the line without white space at both ends, A-Z lower-cased, which
+    is what bytes.strip and bytes.lower do.
+    """
+    ends, pos, digests = [0], [], []
+    for text in texts.cast(pa.binary()).to_pylist():
+        for p, line in enumerate(text.lower().split(b"\n")):
+            if key := line.strip():
+                pos.append(p)
+                digests.append(xxhash.xxh3_128_digest(key))
+        ends.append(len(pos))
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+    lines = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in halves)], names=["pos", "a", "b"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)
 
 
-def _hash(key: Column) -> Column:
-    """128 bits, so that no two of 10^12 keys meet by chance; null for an empty key."""
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """row_key and lines (position and hash of each key) of rows with row_key and text, as a table."""
+    lines = F.arrow_udf(line_hashes, "array<struct<pos:int,a:long,b:long>>")
+    return materialise(rows.select("row_key", lines(F.col("text")).alias("lines")))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, by_text: bool = False) -> DataFrame:
-    """Hashes of the line keys found in at least min_docs documents; docs has row_key and text.
+def frequent_lines(hashed: DataFrame, min_docs: int, by_text: bool = False) -> DataFrame:
+    """a, b: hashes of the line keys found in at least min_docs documents; hashed has row_key and lines.
 
     A key counts once per document, and repeated rows are one document; so are
     all rows of the same text with ``by_text``.
     """
     doc = F.col("row_key.h" if by_text else "row_key")
-    hashes = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: _hash(line_key(x))), lambda h: h.isNotNull()))
-    found = docs.select(doc.alias("doc"), F.explode(hashes).alias("h"))
-    return found.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("h")
+    found = hashed.select(doc.alias("doc"), F.inline("lines"))
+    return found.groupBy("a", "b").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, min_docs: int, whole_rows: bool, by_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept; and the whole input row as a struct, if asked for."""
     more = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole_rows else []
     keyed = with_row_key(docs, id_col, text_col, *more)
-    rows = with_row_key(docs, id_col, text_col)
-    lines = rows.select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    frequent = materialise(frequent_lines(rows, min_docs, by_text))
-    hits = lines.select("row_key", "pos", _hash(line_key(F.col("line"))).alias("h")).where(F.col("h").isNotNull())
-    dropped = hits.join(frequent, "h", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    hashed = _hashed(with_row_key(docs, id_col, text_col))
+    frequent = materialise(frequent_lines(hashed, min_docs, by_text))
+    hits = hashed.select("row_key", F.inline("lines"))
+    dropped = hits.join(frequent, ["a", "b"], "left_semi").groupBy("row_key").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     extra = ["row"] if whole_rows else []
     both = keyed.join(dropped, keyed["row_key"].eqNullSafe(dropped["row_key"]), "left").select("doc_id", "text", "drop", *extra)
     lines = F.split("text", "\n")
