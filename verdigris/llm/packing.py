@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.words import Words
+
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Costs in tokens: a cut at a sentence's end, a cut elsewhere, any sequence at all.
 SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 24, 8
@@ -35,13 +38,16 @@ _MARKS = b".,;:!?*&%#$|"
 _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"')
 
 
-def _letters(word: str) -> bool:
+def _letters(word: bytes) -> bool:
     """Whether the tokenizer, which composes and lower-cases first, sees letters alone."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class _Places(dict):
-    """Number of each word; a word not seen before gets the next one and is noted."""
+    """Number of each part of a word; one not seen before gets the next one and is noted."""
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -49,6 +55,57 @@ class _Places(dict):
         return len(self) - 1
 
 
+class _Numbers:
+    """Number of each word by its hash, first bytes and size, which tell words of up to 16 bytes apart without fail; whole arrays of words at once.
+
+    An open table: a word's number is in the first free slot from its hash on.
+    New words get the next numbers and are noted.
+    """
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+        self.keys = [np.zeros(1, np.uint64)] * 3  # number 0 is no word
+        self.slots = np.full(1 << 16, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys[0])
+
+    def _find(self, keys: list[np.ndarray]) -> np.ndarray:
+        out, rows = np.full(len(keys[0]), -1, np.int64), np.arange(len(keys[0]))
+        at = (keys[0] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(rows):
+            there = self.slots[at]
+            same = there > 0
+            for held, k in zip(self.keys, keys, strict=True):
+                same &= held[there] == k[rows]
+            out[rows[same]] = there[same]
+            on = (there > 0) & ~same
+            rows, at = rows[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _insert(self, numbers: np.ndarray) -> None:
+        at = (self.keys[0][numbers] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            on = self.slots[at] != numbers
+            numbers, at = numbers[on], (at[on] + 1) & (len(self.slots) - 1)
+
+    def of(self, words: Words) -> np.ndarray:
+        keys = [words.hashes(), words.heads(), (words.stop - words.start).astype(np.uint64)]
+        out, raw = self._find(keys), words.data.tobytes()
+        while len(missing := np.flatnonzero(out < 0)):
+            first = np.sort(missing[np.unique(keys[0][missing], return_index=True)[1]])
+            self.new += [raw[i:j] for i, j in zip(words.start[first].tolist(), words.stop[first].tolist(), strict=True)]
+            n = len(self)
+            self.keys = [np.r_[held, k[first]] for held, k in zip(self.keys, keys, strict=True)]
+            if 2 * len(self) > len(self.slots):
+                self.slots, n = np.full(4 << len(self).bit_length(), -1, np.int32), 1
+            self._insert(np.arange(n, len(self)))
+            out[missing] = self._find([k[missing] for k in keys])
+        return out
+
+
 class _Ragged:
     """Rows of ids, one after the other."""
 
@@ -90,31 +147,31 @@ class IdPool:
 
     def reset(self) -> None:
         """Word 0 is the end of a document, part 0 is empty."""
-        self.words, self.parts = _Places({b"": 0}), _Places({b"": 0})
-        self.words.new, self.parts.new = [], []
+        self.words, self.parts = _Numbers(), _Places({b"": 0})
+        self.parts.new = []
         self.word_ids, self.part_ids, self.ends = _Ragged(), _Ragged(), np.zeros(1, bool)
         self.word_ids.append(np.array([self.end_id]), np.ones(1, np.int64))
         self.part_ids.append(np.zeros(0), np.zeros(1, np.int64))
 
     def _encode_parts(self) -> None:
-        new = [x.decode("utf-8", "replace") for x in self.parts.new]
-        self.parts.new = []
-        letters = [k for k, x in enumerate(new) if _letters(x)]
+        new, self.parts.new = self.parts.new, []
+        alone = [_letters(x) for x in new]
+        letters = [k for k, yes in enumerate(alone) if yes]
         size = np.zeros(len(new), np.int64)
         got: list[np.ndarray] = [np.zeros(0, np.int64)] * len(new)
         for i in range(0, len(letters), 2000):  # words of letters alone go together: each ends with one end-of-word id
             some = letters[i : i + 2000]
-            flat = np.fromiter((x for e in self.tokenizer.encode_batch_fast([" ".join(new[k] for k in some[j : j + 20]) for j in range(0, len(some), 20)], add_special_tokens=False) for x in e.ids), np.int64)
+            flat = np.fromiter((x for e in self.tokenizer.encode_batch_fast([b" ".join([new[k] for k in some[j : j + 20]]).decode() for j in range(0, len(some), 20)], add_special_tokens=False) for x in e.ids), np.int64)
             stop = np.flatnonzero(self.ends_word[flat]) + 1
             if len(stop) != len(some):
                 raise ValueError("the vocabulary doesn't end each word with one end-of-word id")
             size[some] = np.diff(np.r_[0, stop])
             for k, a, b in zip(some, np.r_[0, stop[:-1]].tolist(), stop.tolist(), strict=True):
                 got[k] = flat[a:b]
-        rest = [k for k, x in enumerate(new) if not _letters(x)]
+        rest = [k for k, yes in enumerate(alone) if not yes]
         for i in range(0, len(rest), 20_000):
             some = rest[i : i + 20_000]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([new[k] for k in some], add_special_tokens=False), strict=True):
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([new[k].decode("utf-8", "replace") for k in some], add_special_tokens=False), strict=True):
                 got[k] = np.array(e.ids, np.int64)
                 size[k] = len(got[k])
         if new:
@@ -126,7 +183,7 @@ class IdPool:
         for w in new:
             low = w if b"<|" in w else w.lower()  # ASCII only; a special token's name keeps its case
             head = low.rstrip(_MARKS)
-            if len(head) == len(low) or not _letters(head.decode("utf-8", "replace")):
+            if len(head) == len(low) or not _letters(head):
                 pairs += (self.parts[low], 0)
             else:
                 pairs += (self.parts[head], self.parts[low[len(head) :]])
@@ -136,21 +193,28 @@ class IdPool:
             self.word_ids.append(ids, np.diff(np.r_[0, after[1::2]]))
             self.ends = np.r_[self.ends, np.fromiter((w.endswith(_SENTENCE_END) for w in new), bool, len(new))]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, end id after each; tokens of each text; positions after the words that end a sentence."""
         if len(self.words) > REMEMBER:
             self.reset()
-        flat: list[bytes] = []
-        for t in texts:
-            flat += (t or "").encode("utf-8", "replace").split()
-            flat.append(b"")
-        words = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        self._add_words()
+        found = Words(texts)
+        try:
+            words = np.insert(self.words.of(found), found.first[1:], 0)
+            self._add_words()
+        except BaseException:  # words may be noted without ids, and a later task could get this pool
+            self.reset()
+            raise
         ids, after = self.word_ids.take(words)
         docs_end = after[words == 0]
         return ids, np.diff(np.r_[0, docs_end]), after[self.ends[words]]
 
 
+@lru_cache(maxsize=1)
+def pool_of(tokenizer_file: str, end_id: int) -> IdPool:
+    """The pool that a worker keeps from task to task, so that it encodes a word once and not once a partition."""
+    return IdPool(tokenizer_file, end_id)
+
+
 def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, width: int) -> list[int]:
     """Where the sequences of a stream of n tokens end, at least cost; each has at most width tokens.
 
@@ -233,7 +297,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, end_id: int, id_col: str = "do
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = IdPool(tokenizer_file, end_id)
+        pool = pool_of(tokenizer_file, end_id)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         held: list[tuple] = []
         tokens = 0
@@ -252,7 +316,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, end_id: int, id_col: str = "do
             id_type = batch.column(0).type
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, sizes, ends = pool.encode(part.column(1).to_pylist())
+                ids, sizes, ends = pool.encode(part.column(1))
                 held.append((ids, part.column(0).to_pylist(), sizes, ends))
                 tokens += len(ids)
                 if tokens >= BLOCK:

@@ -43,11 +43,19 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on, as a number."""
+        padded = np.r_[self.data, np.zeros(8, np.uint8)]
+        return np.ndarray(len(self.data), "<u8", padded.data, strides=(1,))
+
+    def heads(self) -> np.ndarray:
+        """The first bytes of each word, up to eight, as a number."""
+        return self._eights()[self.start] & _FIRST[np.minimum(self.stop - self.start, 8)]
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word, eight bytes at a time; no two words of up to eight bytes and one length agree."""
         size = self.stop - self.start
-        padded = np.r_[self.data, np.zeros(8, np.uint8)]
-        eight = np.ndarray(len(self.data), "<u8", padded.data, strides=(1,))
+        eight = self._eights()
         out = size.astype(np.uint64) * _SIZE
         rows: np.ndarray | slice = slice(None)
         for k in range(0, LONG, 8):
