@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,38 @@ def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
         _WRITTEN.remove(path)
 
 
+#: Rows of a batch for Python where rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send Python at most BATCH_ROWS rows at a time from here on; a session that sends fewer keeps its number.
+
+    Spark's 10,000 texts are 20 MB on average and more if texts are long; a task holds
+    a batch in the JVM, in Arrow and as Python strings.  Results are the same.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:  # 0 or less: no bound
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+#: Key, source and model of what this worker keeps.
+_HELD: tuple[Any, Any, Any] = (None, None, None)
+
+
+def held_by_worker(key: tuple, make: Callable[[], Any], of: Any = None) -> Any:
+    """What a Python worker keeps from task to task: the last model asked for, so that the models of different stages don't add up.
+
+    ``of`` is what the model is made from, if the key names it by identity; it is held too.
+    """
+    global _HELD
+    if _HELD[0] != key or _HELD[1] is not of:
+        _HELD = (None, None, None)  # before the next is made
+        _HELD = (key, of, make())
+    return _HELD[2]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

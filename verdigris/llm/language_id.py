@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import held_by_worker
+
 #: Bytes of dictionary for each language, and labelled rows from which they are taken.
 DICT_BYTES = 1 << 17
 SAMPLE_ROWS = 600
@@ -128,15 +130,8 @@ def classify(dicts: dict[str, bytes], text: Column) -> Column:
     return run(text)
 
 
-_MADE: dict[int, tuple[dict[str, bytes], Classifier]] = {}
-
-
 def _classifier(dicts: dict[str, bytes]) -> Classifier:
-    key = id(dicts)
-    if key not in _MADE or _MADE[key][0] is not dicts:
-        _MADE.clear()
-        _MADE[key] = (dicts, Classifier(dicts))
-    return _MADE[key][1]
+    return held_by_worker((Classifier, id(dicts)), lambda: Classifier(dicts), of=dicts)
 
 
 def _sure(r: Column, min_margin: float, min_lead: int) -> Column:

@@ -16,7 +16,6 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import held_by_worker
 from verdigris.llm.words import Words
 
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -32,8 +32,8 @@ SENTENCE_CUT, HARD_CUT, SEQUENCE = 4, 24, 8
 GAP = 256
 #: Tokens after which a block ends with its document.
 BLOCK = 1 << 20
-#: Words whose ids a worker remembers.
-REMEMBER = 1_000_000
+#: Words whose ids a worker remembers, at less than 190 bytes each with their parts; then it starts anew.
+REMEMBER = 400_000
 _MARKS = b".,;:!?*&%#$|"
 _SENTENCE_END = (b".", b"!", b"?", b'."', b'!"', b'?"')
 
@@ -46,15 +46,6 @@ def _letters(word: bytes) -> bool:
     return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
-class _Places(dict):
-    """Number of each part of a word; one not seen before gets the next one and is noted."""
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = len(self)
-        return len(self) - 1
-
-
 class _Numbers:
     """Number of each word by its hash, first bytes and size, which tell words of up to 16 bytes apart without fail; whole arrays of words at once.
 
@@ -110,16 +101,16 @@ class _Ragged:
     """Rows of ids, one after the other."""
 
     def __init__(self) -> None:
-        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def append(self, ids: np.ndarray, size: np.ndarray) -> None:
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
-        self.size = np.r_[self.size, size]
+        self.start = np.r_[self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)]
+        self.size = np.r_[self.size, size.astype(np.int32)]
         self.ids = np.concatenate([self.ids, ids.astype("<u4")])
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some rows in a row, and where each ends."""
-        size = self.size[rows]
+        size = self.size[rows].astype(np.int64)
         after = np.cumsum(size)
         return self.ids[np.repeat(self.start[rows] - (after - size), size) + np.arange(after[-1] if len(after) else 0)], after
 
@@ -147,8 +138,7 @@ class IdPool:
 
     def reset(self) -> None:
         """Word 0 is the end of a document, part 0 is empty."""
-        self.words, self.parts = _Numbers(), _Places({b"": 0})
-        self.parts.new = []
+        self.words, self.parts = _Numbers(), _Numbers()
         self.word_ids, self.part_ids, self.ends = _Ragged(), _Ragged(), np.zeros(1, bool)
         self.word_ids.append(np.array([self.end_id]), np.ones(1, np.int64))
         self.part_ids.append(np.zeros(0), np.zeros(1, np.int64))
@@ -179,16 +169,20 @@ class IdPool:
 
     def _add_words(self) -> None:
         new, self.words.new = self.words.new, []
-        pairs = []
-        for w in new:
+        parts, at = [], []  # the parts of all words, and each one's place: two for a word, of which the second may be empty
+        for i, w in enumerate(new):
             low = w if b"<|" in w else w.lower()  # ASCII only; a special token's name keeps its case
             head = low.rstrip(_MARKS)
             if len(head) == len(low) or not _letters(head):
-                pairs += (self.parts[low], 0)
+                parts.append(low)
+                at.append(2 * i)
             else:
-                pairs += (self.parts[head], self.parts[low[len(head) :]])
+                parts += (head, low[len(head) :])
+                at += (2 * i, 2 * i + 1)
+        pairs = np.zeros(2 * len(new), np.int64)
+        pairs[at] = self.parts.of(Words(pa.array(parts, pa.large_binary())))
         self._encode_parts()
-        ids, after = self.part_ids.take(np.array(pairs, np.int64))
+        ids, after = self.part_ids.take(pairs)
         if new:
             self.word_ids.append(ids, np.diff(np.r_[0, after[1::2]]))
             self.ends = np.r_[self.ends, np.fromiter((w.endswith(_SENTENCE_END) for w in new), bool, len(new))]
@@ -209,10 +203,9 @@ class IdPool:
         return ids, np.diff(np.r_[0, docs_end]), after[self.ends[words]]
 
 
-@lru_cache(maxsize=1)
 def pool_of(tokenizer_file: str, end_id: int) -> IdPool:
     """The pool that a worker keeps from task to task, so that it encodes a word once and not once a partition."""
-    return IdPool(tokenizer_file, end_id)
+    return held_by_worker((IdPool, tokenizer_file, end_id), lambda: IdPool(tokenizer_file, end_id))
 
 
 def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, width: int) -> list[int]:

@@ -28,7 +28,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        texts = texts.fill_null("").cast(pa.large_binary())
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
         _, at, raw = texts.buffers()
         at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         self.data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
