@@ -112,22 +112,15 @@ all_roles AS (SELECT * FROM own_roles UNION SELECT case_id, name, unnest(['count
 parties AS (SELECT case_id, 'party_' || p AS id, p, name, CASE WHEN name = employee THEN 'employee' WHEN name = employer THEN 'employer' WHEN label = '第三人' THEN 'other' ELSE 'unknown' END AS labor_role, (SELECT list(role) FROM all_roles a WHERE a.case_id = f.case_id AND a.name = f.name) AS roles FROM firsts f JOIN known USING (case_id))"""
 
 
-_READ: dict[tuple, DataFrame] = {}
-
-
-def cases(spark: SparkSession, d: str) -> DataFrame:
-    """The judgments as read; the plan, which takes seconds to put together, is kept for the session's other queries (no data is)."""
-    key = (spark.sparkContext.applicationId, id(spark), d)
-    if key not in _READ:
-        _READ.clear()
-        _READ[key] = judgments.read(court_texts(spark, d))
-    return _READ[key]
+def cases(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """The judgments with what a query wants of them."""
+    return judgments.read(court_texts(spark, d), wanted or tuple(judgments.FOUND))
 
 
 @query("t17_party_recognition", f"WITH {PARTIES} SELECT k.case_id, employee, employer, applicant_role, confidence, p.id AS party_id, p.name, p.labor_role, array_to_string(list_sort(p.roles), ',') AS roles FROM known k LEFT JOIN parties p USING (case_id)")
 def t17(spark: SparkSession, d: str) -> DataFrame:
     """Parties with all their sides, and who of them is employee, employer and applicant."""
-    rows = cases(spark, d).select("case_id", "known.employee", "known.employer", "known.applicant_role", "known.confidence", F.explode_outer("known.parties").alias("p"))
+    rows = cases(spark, d, "known").select("case_id", "known.employee", "known.employer", "known.applicant_role", "known.confidence", F.explode_outer("known.parties").alias("p"))
     return rows.select("case_id", "employee", "employer", "applicant_role", "confidence", F.col("p.id").alias("party_id"), "p.name", "p.labor_role", F.array_join(F.array_sort("p.roles"), ",").alias("roles"))
 
 
@@ -138,7 +131,7 @@ _PARTS = f"""parts AS (SELECT case_id, text, {_strip(_first("text", c.APPLICANT_
 @query("t19_judgment_sections", f"WITH {COURT}, body AS (SELECT case_id, {_strip('text')} AS text FROM court), {_PARTS} SELECT case_id, applicant, respondent, facts, reasoning, decision FROM parts")
 def t19(spark: SparkSession, d: str) -> DataFrame:
     """The five sections of a judgment; the reasoning has a second heading where it lacks the first."""
-    return cases(spark, d).select("case_id", "parts.*")
+    return cases(spark, d, "parts").select("case_id", "parts.*")
 
 
 _AGAINST = "list_has_any(roles, ['plaintiff', 'appellant', 'applicant'])"
@@ -336,7 +329,7 @@ UNION ALL SELECT 'suggestion', suggestion, count(*), 0, {_SHARE.format(p='count(
 @query("a26_outcome_audit", f"WITH RECURSIVE {_AUDIT}")
 def a26(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of claims and their outcomes, with reasons, types and suggestions of what needs review."""
-    return audits.outcome_audit(cases(spark, d))
+    return audits.outcome_audit(cases(spark, d, "claims", "diagnostics"))
 
 
 @query("a26_amount_risks", f"WITH RECURSIVE {CLAIMS} SELECT case_id, id AS claim_id, type, name, asked, awarded FROM claims WHERE type IN ({_MONETARY}) AND outcome = 'supported' AND awarded > 0 AND awarded < asked")
