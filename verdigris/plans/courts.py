@@ -249,7 +249,7 @@ outcomes AS (SELECT case_id, role, CASE WHEN role = 'unknown' THEN 'unclear' WHE
 @query("t28_case_outcomes", f"WITH RECURSIVE {OUTCOMES} SELECT case_id, role, employee, employer, applicant FROM outcomes")
 def t28(spark: SparkSession, d: str) -> DataFrame:
     """What became of a case for either side: its claims and the orders addressed to it."""
-    return cases(spark, d).select("case_id", F.col("known.applicant_role").alias("role"), "outcomes.*")
+    return cases(spark, d, "known", "outcomes").select("case_id", F.col("known.applicant_role").alias("role"), "outcomes.*")
 
 
 _DIGIT = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in c.DIGITS.items()) + " END"
