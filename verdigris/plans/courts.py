@@ -286,7 +286,7 @@ _REFERENCE_ROWS = f"""SELECT r.case_id, r.pos, r.source, CASE WHEN k.clause IS N
 @query("t33_reference_sets", f"WITH RECURSIVE {REFERENCES} {_REFERENCE_ROWS}")
 def t33(spark: SparkSession, d: str) -> DataFrame:
     """Clauses that refer to claims by number, as sets of claims; what lies out of range leaves a clause open."""
-    rows = judgments.resolve_references(cases(spark, d)).select("case_id", "pos", "source", "status", "reason", F.explode_outer("candidates").alias("x"))
+    rows = judgments.resolve_references(cases(spark, d, "parts", "claims")).select("case_id", "pos", "source", "status", "reason", F.explode_outer("candidates").alias("x"))
     return rows.select("case_id", "pos", "source", "status", "reason", F.array_join("x.claim_ids", ",").alias("claim_ids"), "x.treatment", "x.action", "x.reasoning", "x.method")
 
 
