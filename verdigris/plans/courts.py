@@ -335,7 +335,7 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
 @query("a26_amount_risks", f"WITH RECURSIVE {CLAIMS} SELECT case_id, id AS claim_id, type, name, asked, awarded FROM claims WHERE type IN ({_MONETARY}) AND outcome = 'supported' AND awarded > 0 AND awarded < asked")
 def a26_risks(spark: SparkSession, d: str) -> DataFrame:
     """Claims granted in full although less is awarded than asked."""
-    return audits.amount_risks(cases(spark, d))
+    return audits.amount_risks(cases(spark, d, "claims"))
 
 
 @query(
