@@ -230,7 +230,7 @@ claims AS (SELECT *, 'claim_' || row_number() OVER (PARTITION BY case_id ORDER B
 @query("t20_claim_provenance", f"WITH RECURSIVE {CLAIMS} SELECT case_id, id, {', '.join(CLAIM_FIELDS)} FROM claims")
 def t20(spark: SparkSession, d: str) -> DataFrame:
     """Claims of a judgment with claimant, basis, where the request stands, amounts and outcome."""
-    rows = cases(spark, d).select("case_id", F.explode("claims").alias("x"))
+    rows = cases(spark, d, "claims").select("case_id", F.explode("claims").alias("x"))
     return rows.select("case_id", "x.id", *(F.array_join(F.transform("x.orders", lambda p: p.cast("string")), ",").alias(k) if k == "orders" else F.col(f"x.{k}") for k in CLAIM_FIELDS))
 
 
