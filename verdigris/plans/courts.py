@@ -153,7 +153,7 @@ orders_ AS (SELECT case_id, pos, source, action, target, first_value(type) OVER
 @query("t21_addressed_orders", f"WITH {ORDERS} SELECT case_id, pos, source, action, target, type, carried, asked, awarded FROM orders_")
 def t21(spark: SparkSession, d: str) -> DataFrame:
     """Orders with whom they are addressed to and the claim that they are about, carried on where a clause names none."""
-    return cases(spark, d).select("case_id", F.explode("orders").alias("o")).select("case_id", "o.*")
+    return cases(spark, d, "orders").select("case_id", F.explode("orders").alias("o")).select("case_id", "o.*")
 
 
 def _pick(name: str, sources: list[tuple[str, str, str, str]], usable: str) -> str:
