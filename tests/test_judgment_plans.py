@@ -14,7 +14,7 @@ def evaluations(df):
     return sum("ArrowEvalPython" in line for line in plan), [line for line in plan if "Filter" in line and ("transform(" in line or "lambda" in line)]
 
 
-@pytest.mark.parametrize("name", ["a26_outcome_audit", "t28_case_outcomes", "t33_reference_sets", "a26_amount_risks", "t20_claim_provenance", "t21_addressed_orders"])
+@pytest.mark.parametrize("name", ["a26_outcome_audit", "t28_case_outcomes", "t33_reference_sets", "a26_amount_risks", "t20_claim_provenance", "t21_addressed_orders", "t27_case_diagnoses"])
 def test_texts_are_read_once(spark, name):
     calls, filters = evaluations(registry.queries()[name](spark, SF))
     assert calls == 1

@@ -114,7 +114,7 @@ parties AS (SELECT case_id, 'party_' || p AS id, p, name, CASE WHEN name = emplo
 
 def cases(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
     """The judgments with what a query wants of them."""
-    return judgments.read(court_texts(spark, d), wanted or tuple(judgments.FOUND))
+    return judgments.read(court_texts(spark, d), wanted)
 
 
 @query("t17_party_recognition", f"WITH {PARTIES} SELECT k.case_id, employee, employer, applicant_role, confidence, p.id AS party_id, p.name, p.labor_role, array_to_string(list_sort(p.roles), ',') AS roles FROM known k LEFT JOIN parties p USING (case_id)")
@@ -310,7 +310,7 @@ diagnosed AS (SELECT case_id, 'applicant' AS target, NULL AS claim_id, NULL AS c
 @query("t27_case_diagnoses", f"WITH RECURSIVE {DIAGNOSES} SELECT *, CASE WHEN reason IN ({', '.join(map(_q, RULE_REASONS))}) THEN 'rule_improvement' ELSE 'manual_review' END AS suggestion FROM diagnosed")
 def t27(spark: SparkSession, d: str) -> DataFrame:
     """Why an outcome isn't known, for the case, each claim and each side: the whole ladder of reasons."""
-    rows = cases(spark, d).select("case_id", F.explode("diagnostics").alias("x"))
+    rows = cases(spark, d, "diagnostics").select("case_id", F.explode("diagnostics").alias("x"))
     return rows.select("case_id", "x.target", "x.claim_id", "x.claim_type", "x.outcome", "x.reason", "x.suggestion")
 
 
