@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.functions import awards as aw
 from verdigris.functions import dates, rules
 from verdigris.functions import legal_tables as t
 from verdigris.plans.registry import query
@@ -148,30 +149,6 @@ _STOP, _LAST = _list(t.STOP_WORDS), len(t.LEGAL_TERMS)
 _SYNONYM_SQL = "coalesce(map([" + ", ".join(map(_lit, t.SYNONYMS)) + "], [" + ", ".join(map(_lit, t.SYNONYMS.values())) + "])[{g}], {g})"
 
 
-def legal_tokens(text: Column) -> Column:
-    """Terms of the law first, each taken out of the text in turn; then short segments whole and longer ones as windows of two and three characters; stop words go and synonyms are merged."""
-    state = F.struct(F.regexp_replace(text, "[^一-龥a-zA-Z0-9]", " ").alias("left"), F.array().cast("array<string>").alias("tokens"))
-    terms = F.array(*(F.struct(F.lit(x).alias("term"), F.lit(t.SYNONYMS.get(x, x)).alias("token")) for x in t.LEGAL_TERMS))
-
-    def take(s: Column, x: Column) -> Column:
-        n = ((F.length(s["left"]) - F.length(F.replace(s["left"], x["term"], F.lit("")))) / F.length(x["term"])).cast("int")
-        return F.struct(F.replace(s["left"], x["term"], F.lit(" ")).alias("left"), F.concat(s["tokens"], F.array_repeat(x["token"], n)).alias("tokens"))
-
-    stop, synonyms = F.array(*map(F.lit, t.STOP_WORDS)), F.create_map(*(F.lit(x) for pair in t.SYNONYMS.items() for x in pair))
-
-    def windows(seg: Column) -> Column:
-        n = F.length(seg)
-        at = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(seg, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        return F.when(n <= 4, F.array(seg)).otherwise(F.concat(at(2), at(3)))
-
-    def finish(s: Column) -> Column:
-        segments = F.filter(F.split(s["left"], "\\s+"), lambda x: F.length(x) >= 2)
-        grams = F.filter(F.flatten(F.transform(segments, windows)), lambda g: ~F.array_contains(stop, g))
-        return F.concat(s["tokens"], F.transform(grams, lambda g: F.coalesce(synonyms[g], g)))
-
-    return F.aggregate(terms, state, take, finish)
-
-
 @query(
     "t09_tokens",
     f"""WITH {TEXTS}, {_token_sql()}, s AS (SELECT case_id, w, unnest(list_concat([''], list_filter(regexp_split_to_array(r, '\\s+'), lambda x: length(x) >= 2))) AS seg FROM r{_LAST}),
@@ -179,7 +156,8 @@ def legal_tokens(text: Column) -> Column:
     k AS (SELECT unnest(w) AS token FROM r{_LAST} UNION ALL SELECT {_SYNONYM_SQL.format(g='g')} FROM g WHERE NOT list_contains({_STOP}, g)) SELECT token, count(*) AS n FROM k GROUP BY token""",
 )
 def t09(spark: SparkSession, d: str) -> DataFrame:
-    return awards(spark, d).select(F.explode(legal_tokens(the_text())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = award_texts(spark, d, deal=True).select("text").mapInArrow(aw.count_tokens, "token string, n long")
+    return counts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _labels_sql(table: list[t.Rule], before: int, after: int, bonus: float) -> str:

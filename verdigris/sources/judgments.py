@@ -31,8 +31,14 @@ def _spark(name: str) -> Column:
     return F.get(F.array(*map(F.lit, options)), (F.floor(F.col("o_orderkey") / step) % len(options)).cast("int"))
 
 
-def award_texts(spark: SparkSession, d: str) -> DataFrame:
-    """case_id, text, filed (date), amount (whole price) of each order."""
+def dealt(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    """The rows of a few files dealt to all cores: the rules take far longer than the scan, so a file, or a large part of one, shouldn't be one task."""
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    return orders.repartition(tasks) if orders.rdd.getNumPartitions() < tasks else orders
+
+
+def award_texts(spark: SparkSession, d: str, deal: bool = False) -> DataFrame:
+    """case_id, text, filed (date), amount (whole price) of each order; ``deal`` for work that takes far longer than the scan."""
     amount, at = F.floor("o_totalprice").cast("string"), F.col("o_orderdate")
     award = F.floor(F.col("o_totalprice") / (1 + F.col("o_orderkey") % 3)).cast("string")
     pieces = [
@@ -42,7 +48,8 @@ def award_texts(spark: SparkSession, d: str) -> DataFrame:
         _spark("tail"), "。\n如不服本裁决，可向人民法院起诉。\n", _spark("foot"),
     ]
     text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in pieces))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), text.alias("text"), F.to_date("o_orderdate").alias("filed"), F.floor("o_totalprice").cast("long").alias("amount"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return (dealt(spark, orders) if deal else orders).select(F.col("o_orderkey").alias("case_id"), text.alias("text"), F.to_date("o_orderdate").alias("filed"), F.floor("o_totalprice").cast("long").alias("amount"))
 
 
 def _sql(name: str) -> str:
@@ -87,12 +94,6 @@ def _court_part(name: str) -> Column:
     return F.get(F.array(*map(F.lit, options)), (F.floor(F.col("o_orderkey") / step) % len(options)).cast("int"))
 
 
-def dealt(spark: SparkSession, orders: DataFrame) -> DataFrame:
-    """The rows of a few files dealt to all cores: the rules take far longer than the scan, so a file, or a large part of one, shouldn't be one task."""
-    tasks = 3 * spark.sparkContext.defaultParallelism
-    return orders.repartition(tasks) if orders.rdd.getNumPartitions() < tasks else orders
-
-
 def court_texts(spark: SparkSession, d: str) -> DataFrame:
     """case_id, text of a court judgment for each order; every 13th has the requests by themselves, every 11th a title."""
     text = _court_part("form")
