@@ -9,7 +9,7 @@ from verdigris.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["t09_tokens"])
+@pytest.mark.parametrize("name", ["t09_tokens", "t25_evidence_providers"])
 def test_texts_are_taken_by_the_batch(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Generate" not in plan
@@ -24,3 +24,17 @@ def test_tokens_of_a_run():
 def test_runs_are_counted_over_texts():
     batch = pa.RecordBatch.from_arrays([pa.array(["甲乙，甲乙", None, "", "甲乙 丙"])], names=["text"])
     assert [b.to_pydict() for b in awards.count_tokens([batch])] == [{"token": ["甲乙"], "n": [3]}]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("申请人提交银行流水。", [("工资支付/银行流水", "employee", "申请人提交银行流水", 0.9)]),
+        ("被申请人未提交银行流水，另有工资表在案。", [("工资支付/银行流水", "unknown", "被申请人未提交银行流水", 0.7)]),
+        ("仅有薪资明细。", [("工资支付/银行流水", "unknown", "银行流水", 0.5)]),
+        ("本院依法调取社保。", [("社保/工伤记录", "court", "本院依法调取社保", 0.9)]),
+        ("", []),
+    ],
+)
+def test_who_handed_it_in(text, want):
+    assert awards.evidence(text) == want

@@ -418,21 +418,7 @@ def t24(spark: SparkSession, d: str) -> DataFrame:
 )
 def t25(spark: SparkSession, d: str) -> DataFrame:
     """Evidence with who handed it in: the actor before the first verb, unless that is denied."""
-
-    handed = F.filter(F.transform(F.split(the_text(), "[。；\n]"), lambda s: F.trim(s)), lambda s: s.rlike(t.HANDED_IN))
-
-    def one(name: str, words: str, part: str) -> Column:
-        first = F.get(F.filter("handed", lambda s: rules.has_any(s, words)), F.lit(0))
-        return F.when(rules.has_any(the_text(), words), rules.let(first, lambda s: shaped(s, name, words, part)))
-
-    def shaped(sentence: Column, name: str, words: str, part: str) -> Column:
-        before = F.regexp_extract(sentence, f"^(.*?)(?:{t.HANDED_IN})", 1)
-        provider = F.when(sentence.isNull() | before.rlike("(未|没|没有|未能)$"), "unknown").when(before.rlike("第三方|第三人"), "third_party").when(before.rlike("(本院|法院)(依法)?$"), "court").when(F.contains(before, F.lit("被申请人")), "employer").when(F.contains(before, F.lit("申请人")), "employee").otherwise("unknown")
-        matched = F.nullif(F.trim(F.regexp_extract(the_text(), _PART.format(p=part), 1)), F.lit(""))
-        return rules.let(provider, lambda p: F.struct(F.lit(name).alias("name"), p.alias("provider"), F.when(p != "unknown", sentence).otherwise(F.coalesce(matched, F.lit(words[0]))).alias("matched"), F.when(p != "unknown", 0.9).when(matched.isNotNull(), 0.7).otherwise(0.5).alias("confidence")))
-
-    rows = awards(spark, d).select("case_id", "text", handed.alias("handed"))
-    return rows.select("case_id", F.explode(F.array_compact(F.array(*(one(*k) for k in t.EVIDENCE_KINDS)))).alias("x")).select("case_id", "x.*")
+    return award_texts(spark, d, deal=True).select("case_id", "text").mapInArrow(aw.all_evidence, aw.EVIDENCE)
 
 
 @query("t26_key_points", f"WITH {TEXTS}, r AS (SELECT case_id, coalesce({_section(_CLEAN, *_SECTION['reasoning'])}, '') AS j FROM texts), p AS (SELECT case_id, list_filter([" + ", ".join(f"CASE WHEN {' AND '.join(_any('j', g) for g in groups)} THEN {_lit(n)} END" for n, groups in t.KEY_POINTS) + f"], lambda x: x IS NOT NULL) AS p FROM r) SELECT case_id, unnest(CASE WHEN len(p) > 0 THEN p ELSE [{_lit(t.NO_KEY_POINT)}] END) AS point FROM p")
