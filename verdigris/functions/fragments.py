@@ -9,7 +9,7 @@ fragment alone is remembered, up to a bound: phrases come again and again.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cache, lru_cache
 
 from verdigris.functions import court_tables as c
 
@@ -17,7 +17,7 @@ from verdigris.functions import court_tables as c
 KEPT = 1 << 13
 
 
-@lru_cache(None)
+@cache
 def compiled(pattern: str) -> re.Pattern:
     """A pattern of the rule tables, as SQL reads it: classes are ASCII, and the end is the end of the text."""
     return re.compile(pattern.replace("\\z", "\\Z").replace("$", "\\Z"), re.ASCII)
@@ -61,20 +61,28 @@ def amount_near(text: str, words: tuple[str, ...]) -> float | None:
 
 def in_context(text: str, rule: c.ClaimRule) -> bool:
     """Whether the text has a word of the rule, with a word of its context near where it has one."""
+    context = rule.context
     for w in rule.words:
-        at = text.find(w)
-        if at >= 0 and not rule.context:
+        if w in text and (not context or _near(text, w, context)):
             return True
-        while at >= 0:
-            about = text[max(at - c.AROUND, 0) : at + len(w) + c.AROUND]
-            if any(k in about for k in rule.context):
-                return True
-            at = text.find(w, at + len(w))
     return False
 
 
-def has_word(text: str, rule: c.ClaimRule) -> bool:
-    return any(w in text for w in rule.words)
+def _near(text: str, w: str, context: tuple[str, ...]) -> bool:
+    at = text.find(w)
+    while at >= 0:
+        about = text[max(at - c.AROUND, 0) : at + len(w) + c.AROUND]
+        if any(k in about for k in context):
+            return True
+        at = text.find(w, at + len(w))
+    return False
+
+
+def has_word(text: str, words: tuple[str, ...]) -> bool:
+    for w in words:  # a loop, as this is asked most of all
+        if w in text:
+            return True
+    return False
 
 
 @lru_cache(64)
@@ -92,4 +100,6 @@ def _asks(fragment: str) -> tuple[str, bool, bool]:
 def is_request(fragment: str, words: tuple[str, ...] = ()) -> bool:
     """Whether a fragment asks for something, rather than arguing about it."""
     flat, defends, asks = _asks(fragment)
-    return not defends and (asks or any(w in flat and has(flat[: flat.find(w)], c.REQUEST_BEFORE) for w in words))
+    if defends:
+        return False
+    return asks or any(w in flat and has(flat[: flat.find(w)], c.REQUEST_BEFORE) for w in words)
